@@ -42,9 +42,9 @@ def empty_findings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], FINDING_SCHEMA)
 
 
-def _rule_table(spark: SparkSession, rules: Sequence[RowRule], start: int) -> DataFrame:
+def _rule_table(spark: SparkSession, rules: Sequence[RowRule], positions: Sequence[int]) -> DataFrame:
     rows = [
-        (i, r.rule, r.severity, r.category, r.column, r.message, r.suggestion, r.evidence, r.below_rows, start + i)
+        (i, r.rule, r.severity, r.category, r.column, r.message, r.suggestion, r.evidence, r.below_rows, positions[i])
         for i, r in enumerate(rules)
     ]
     return spark.createDataFrame(
@@ -73,8 +73,13 @@ def violations(df: DataFrame, rules: Sequence[RowRule], key: Sequence[str]) -> D
     return broken.select("__r.rule", "__r.column", _key_text("__key", key).alias("row_key"), "value")
 
 
-def row_findings(df: DataFrame, rules: Sequence[RowRule], key: Sequence[str], start: int = 0) -> DataFrame:
-    """One finding per broken rule with its count, first row keys and example values."""
+def row_findings(
+    df: DataFrame, rules: Sequence[RowRule], key: Sequence[str], positions: Sequence[int] | None = None
+) -> DataFrame:
+    """One finding per broken rule with its count, first row keys and example values.
+
+    ``positions`` say where each rule's finding stands in the report (default: the order given).
+    """
     spark = df.sparkSession
     if not rules:
         return empty_findings(spark)
@@ -89,7 +94,7 @@ def row_findings(df: DataFrame, rules: Sequence[RowRule], key: Sequence[str], st
             F.struct("rn", _key_text("__key", key).alias("row_key"), "value")
         )).alias("shown"))
     )
-    table = _rule_table(spark, rules, start)
+    table = _rule_table(spark, rules, positions or range(len(rules)))
     joined = counts.join(F.broadcast(table), "rule_no").join(F.broadcast(shown), "rule_no")
     examples = F.array_join(F.slice(F.transform("shown", lambda s: s["value"]), 1, SHOWN_VALUES), ", ")
     return joined.where(F.col("below_rows").isNull() | (F.col("n_rows") < F.col("below_rows"))).select(

@@ -134,7 +134,8 @@ def gap_findings(df: DataFrame, columns: Sequence[str], key: Sequence[str], star
             ))), lambda s: s["k"],
         ).alias("keys"))
     )
-    position = F.lit(start) + F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column")) - 1
+    place = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column")) - 1
+    position = F.lit(start) + place * 2 + 1  # each date column reports future dates, then gaps
     return gaps.join(F.broadcast(listed), "column").select(*table_finding(
         "date_gap", "info", "temporal", F.col("column"), F.col("n_gaps"),
         F.format_string(f"Found %d large gaps in '%s' (>{GAP_FACTOR}x median interval)", "n_gaps", "column"),
