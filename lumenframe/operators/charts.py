@@ -18,8 +18,6 @@ HISTOGRAM_BINS = 30
 BARS, SLICES = 20, 10
 KINDS = ("histogram", "scatter", "line", "bar", "box", "heatmap", "pie")
 AGGREGATIONS = ("sum", "mean", "count", "median")
-# Points a scatter or line chart is reduced to.
-POINTS = 5_000
 
 
 def _c(name: str) -> Column:
@@ -57,20 +55,25 @@ def histogram(df: DataFrame, x: str, color: str | None = None, bins: int = HISTO
     )
 
 
-def scatter(df: DataFrame, x: str, y: str, key: Sequence[str], color: str | None = None, points: int = POINTS) -> DataFrame:
-    """(x, y, [color]) of rows drawn by a hash of their key; all rows when they fit."""
+def scatter(
+    df: DataFrame, x: str, y: str, key: Sequence[str] = (), color: str | None = None, points: int | None = None
+) -> DataFrame:
+    """(x, y, [color]) of every row with both values; ``points`` draws that many by a hash of the row key."""
     chosen = df.where(_c(x).isNotNull() & _c(y).isNotNull())
-    draw = F.xxhash64(*[F.col(k) for k in key], F.lit(SEED))
-    return chosen.orderBy(draw, *key).limit(points).select(_c(x), _c(y), *([_c(color)] if color else []))
+    if points is not None:
+        chosen = chosen.orderBy(F.xxhash64(*[F.col(k) for k in key], F.lit(SEED)), *key).limit(points)
+    return chosen.select(_c(x), _c(y), *([_c(color)] if color else []))
 
 
 def line(
     df: DataFrame, x: str, y: str, color: str | None = None, bucket: str | None = None
 ) -> DataFrame:
-    """(x, [color], y, points): mean of y at each x, or per time bucket (``day``, ``month``, ...)."""
-    at = F.date_trunc(bucket, _c(x)) if bucket else _c(x)
+    """(x, [color], y) of every row; with a time bucket (``day``, ``month``, ...) its mean and point count."""
+    present = df.where(_c(x).isNotNull() & _c(y).isNotNull())
     extra = [color] if color else []
-    return df.where(_c(x).isNotNull() & _c(y).isNotNull()).groupBy(at.alias(x), *extra).agg(
+    if bucket is None:
+        return present.select(_c(x), *[_c(c) for c in extra], _c(y))
+    return present.groupBy(F.date_trunc(bucket, _c(x)).alias(x), *extra).agg(
         F.avg(_c(y).cast("double")).alias(y), F.count("*").alias("points")
     )
 
@@ -140,7 +143,7 @@ def chart_data(
     if kind == "histogram":
         return histogram(df, x, color)
     if kind == "scatter":
-        return scatter(df, x, y, key or [x, y], color)
+        return scatter(df, x, y, key or (), color)
     if kind == "line":
         return line(df, x, y, color)
     if kind == "bar":
