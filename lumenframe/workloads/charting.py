@@ -52,11 +52,11 @@ def line_orders(spark, sf_dir):
     return charts.chart_data(table(spark, sf_dir, "orders"), "line", "o_orderdate", "o_totalprice")
 
 
-@query("line_daily", f"""SELECT date_trunc('day', ts) AS ts, event_type, {r('avg(value)', 4)} AS value, count(*) AS points
+@query("line_daily", f"""SELECT date_trunc('day', ts) AS ts, event_type, {r('avg(value)', 9)} AS value, count(*) AS points
 FROM events GROUP BY ALL""")
 def line_daily(spark, sf_dir):
     found = charts.line(table(spark, sf_dir, "events"), "ts", "value", "event_type", bucket="day")
-    return rounded(found.withColumn("ts", F.col("ts").cast("timestamp_ntz")), value=4)
+    return rounded(found.withColumn("ts", F.col("ts").cast("timestamp_ntz")), value=9)
 
 
 @query("bar_counts", """SELECT p_brand AS value, count(*) AS "count" FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
