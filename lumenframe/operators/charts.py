@@ -30,7 +30,7 @@ def aggregate_by(df: DataFrame, x: str, y: str, aggregation: str, n_rows: int |
     if aggregation == "median":
         counts = value_counts_long(present, [y], [x])
         bounded = n_rows is not None and n_rows <= WINDOW_ROWS
-        medians = weighted_quantiles(counts, [0.5], [x, "column"], bounded=bounded)
+        medians = weighted_quantiles(counts, [0.5], [x, "cid"], bounded=bounded)
         return medians.select(x, F.col("quantile").alias(y))
     functions = {"sum": F.sum, "mean": F.avg, "count": F.count}
     return present.groupBy(x).agg(functions[aggregation](_c(y)).alias(y))
@@ -94,15 +94,15 @@ def box(df: DataFrame, value: str, by: Sequence[str] = (), n_rows: int | None =
         present = present.where(_c(k).isNotNull())
     counts = value_counts_long(present, [value], keys)
     n = present.count() if n_rows is None else n_rows
-    quartiles = weighted_quantiles(counts, [0.25, 0.5, 0.75], [*keys, "column"], bounded=n <= WINDOW_ROWS)
-    fences = quartiles.groupBy(*keys, "column", "n").agg(*[
+    quartiles = weighted_quantiles(counts, [0.25, 0.5, 0.75], [*keys, "cid"], bounded=n <= WINDOW_ROWS)
+    fences = quartiles.groupBy(*keys, "cid", "n").agg(*[
         F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(name)
         for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))
     ])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     v = F.col("value")
-    return counts.join(fences, [*keys, "column"]).groupBy(*keys, "n", "q1", "median", "q3").agg(
+    return counts.join(fences, [*keys, "cid"]).groupBy(*keys, "n", "q1", "median", "q3").agg(
         F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
         F.coalesce(F.sum(F.when(~inside, F.col("cnt"))), F.lit(0)).alias("outliers"),
     )

@@ -78,11 +78,11 @@ def average_ranks(df: DataFrame, columns: Sequence[str], n_rows: int | None = No
     """
     n = df.count() if n_rows is None else n_rows
     counts = value_counts_long(df, columns)
-    ranked = with_running_count(counts, ["column"], ["value"], "cnt", n <= WINDOW_ROWS)
-    ranks = ranked.select("column", "value", (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("rank"))
+    ranked = with_running_count(counts, ["cid"], ["value"], "cnt", n <= WINDOW_ROWS)
+    ranks = ranked.select("cid", "value", (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("rank"))
     result = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
     for i, c in enumerate(columns):
-        side = ranks.where(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias(f"__rank{i}"))
+        side = ranks.where(F.col("cid") == i).select(F.col("value").alias(c), F.col("rank").alias(f"__rank{i}"))
         result = result.join(side, c, "left")
     return result.select(*[F.col(f"__rank{i}").alias(c) for i, c in enumerate(columns)])
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.moments import excess_kurtosis, sample_skewness
 from ..functions.special import shapiro_wilk
 from .profile import TableProfile, columns_of_kind
-from .quantiles import exact_quantiles, grouped_quantiles, long_values
+from .quantiles import exact_quantiles, grouped_quantiles, long_values, named
 
 QUARTILES = (0.25, 0.5, 0.75)
 # Sample sizes the normality test accepts and the level it decides at.
@@ -31,7 +31,7 @@ def choose_columns(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
 def moments(df: DataFrame, columns: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """Every statistic one aggregate can produce, per (group, column)."""
     v = F.col("value")
-    return long_values(df, columns, group).groupBy(*group, "column").agg(
+    return named(long_values(df, columns, group).groupBy(*group, "cid").agg(
         F.count(v).alias("count"),
         F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("std"),
@@ -41,7 +41,7 @@ def moments(df: DataFrame, columns: Sequence[str], group: Sequence[str] = ()) ->
         excess_kurtosis(v).alias("kurtosis"),
         (F.count(F.lit(1)) - F.count(v)).alias("missing_count"),
         (F.count(v) == 0).alias("all_missing"),
-    )
+    ), columns)
 
 
 def pivot_quantiles(long: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -29,6 +29,11 @@ DATETIME_LAYOUTS = (
     ("dd-MM-yyyy", r"^\d{2}-\d{2}-\d{4}$"),
     ("dd.MM.yyyy", r"^\d{2}\.\d{2}\.\d{4}$"),
 )
+# Lengths a text may have to be tried as a date, and the kinds of text told apart.
+DATE_LENGTHS = (8, 32)
+TEXT_KINDS = ("numeric", "datetime", "string")
+# Texts that read as numbers.
+NUMBER_SHAPE = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
 _SKETCH_ERROR = 0.02
 
 PROFILE_SCHEMA = (
@@ -45,6 +50,13 @@ def parse_datetime(c: Column, layout: str) -> Column:
     return F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(layout)))
 
 
+def value_kind(c: Column) -> Column:
+    """numeric, datetime or string, for a non-null text."""
+    dated = F.when(F.length(c).between(*DATE_LENGTHS), c)
+    is_date = F.coalesce(*[parse_datetime(dated, layout) for layout, _ in DATETIME_LAYOUTS]).isNotNull()
+    return F.when(c.rlike(NUMBER_SHAPE), "numeric").when(is_date, "datetime").otherwise("string")
+
+
 @dataclass
 class ColumnProfile:
     column: str
@@ -61,6 +73,8 @@ class ColumnProfile:
     missing_count: int = 0
     n_distinct: int | None = None
     layout: str | None = None
+    kinds: tuple[str, ...] = ()
+    maybe_constant: bool = False
 
     @property
     def missing_pct(self) -> float:
@@ -184,6 +198,9 @@ def infer_profile(df: DataFrame, overrides: dict[str, str] | None = None) -> Tab
         entry.missing_count = rows - present
         entry.is_numeric, entry.is_boolean = kind == "numeric", kind == "boolean"
         entry.is_datetime, entry.is_nested = kind == "datetime", kind == "nested"
+        if rows:
+            entry.maybe_constant = bool(measured[name]["one_token"]) and kind not in ("nested", "other")
+            entry.kinds = tuple(k for k, n in zip(TEXT_KINDS, measured[name]["kinds"]) if n)
         if kind == "string" and present:
             hits = measured[name]["dates"]
             best = max(range(len(hits)), key=lambda j: (hits[j], -j))
@@ -206,26 +223,33 @@ def infer_profile(df: DataFrame, overrides: dict[str, str] | None = None) -> Tab
 
 
 def _measure_columns(df: DataFrame, kinds: dict[str, str], eligible: Sequence[str]) -> tuple[int, dict]:
-    """Row count and, per column, presence, text length, date-layout hits and sketched cardinality."""
+    """Row count and, per column, presence, text length, kinds of text, date-layout hits, sketched
+    cardinality and whether all values share one hash: everything the rules need from a single scan."""
     entries = []
-    for name, kind in kinds.items():
+    for i, (name, kind) in enumerate(kinds.items()):
         c = F.col(f"`{name}`")
+        hashed = F.lit(None).cast("bigint") if kind in ("nested", "other") else F.xxhash64(c)
         entries.append(F.struct(
-            F.lit(name).alias("column"),
+            F.lit(i).alias("cid"),
+            F.when(c.isNotNull(), hashed).alias("token"),
             c.isNotNull().alias("there"),
-            (F.xxhash64(c) if name in eligible else F.lit(None).cast("bigint")).alias("token"),
             (c if kind == "string" else F.lit(None).cast("string")).alias("text"),
+            F.lit(name in eligible).alias("counted"),
         ))
     long = df.select(F.inline(F.array(*entries)))
-    dated = F.when(F.length("text").between(8, 32), F.col("text"))
-    found = long.groupBy("column").agg(
+    kind = F.when(F.col("text").isNotNull(), value_kind(F.col("text")))
+    dated = F.when(F.length("text").between(*DATE_LENGTHS), F.col("text"))
+    found = long.withColumn("kind", kind).groupBy("cid").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if("there").alias("present"),
         F.avg(F.length("text")).alias("length"),
-        F.approx_count_distinct(F.when(F.col("there"), F.col("token")), _SKETCH_ERROR).alias("approx"),
+        F.approx_count_distinct(F.when(F.col("counted"), F.col("token")), _SKETCH_ERROR).alias("approx"),
+        (F.min("token").eqNullSafe(F.max("token"))).alias("one_token"),
+        F.array(*[F.count_if(F.col("kind") == k) for k in TEXT_KINDS]).alias("kinds"),
         F.array(*[F.count(parse_datetime(dated, layout)) for layout, _ in DATETIME_LAYOUTS]).alias("dates"),
     ).collect()  # one row per column
-    return (found[0]["rows"] if found else 0), {r["column"]: r for r in found}
+    names = list(kinds)
+    return (found[0]["rows"] if found else 0), {names[r["cid"]]: r for r in found}
 
 
 def exact_distinct(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:

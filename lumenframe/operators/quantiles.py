@@ -24,29 +24,46 @@ def _name(c: str) -> Column:
 
 
 def long_values(df: DataFrame, columns: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
-    """(group, column, value DOUBLE): one narrow aggregate over this beats one very wide aggregate,
-    whose generated code grows past what the JVM compiles."""
+    """(group, cid INT, value DOUBLE), cid being the column's place in ``columns``.
+
+    One narrow aggregate over this beats one very wide aggregate, whose generated code grows past what the
+    JVM compiles; a number is cheaper to hash and sort by than a name.
+    """
     entries = F.array(*[
-        F.struct(F.lit(c).alias("column"), _name(c).cast("double").alias("value")) for c in columns
+        F.struct(F.lit(i).alias("cid"), _name(c).cast("double").alias("value")) for i, c in enumerate(columns)
     ])
     return df.select(*[_name(g) for g in group], F.inline(entries))
 
 
+def named(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Put the column's name in place of its number."""
+    name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("cid")).alias("column")
+    return df.select(*[name if c == "cid" else F.col(f"`{c}`") for c in df.columns])
+
+
 def value_counts_long(df: DataFrame, columns: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
-    """(group, column, value, cnt) of the non-null values; counted before the shuffle."""
+    """(group, cid, value, cnt) of the non-null values; counted before the shuffle."""
     long = long_values(df, columns, group).where("value is not null")
-    return long.groupBy(*group, "column", "value").agg(F.count("*").alias("cnt"))
+    return long.groupBy(*group, "cid", "value").agg(F.count("*").alias("cnt"))
 
 
 def with_running_count(
-    counts: DataFrame, group: Sequence[str], order: Sequence[str], count: str, bounded: bool
+    counts: DataFrame, group: Sequence[str], order: Sequence[str], count: str, bounded: bool, total: str | None = None
 ) -> DataFrame:
-    """Add ``before``: how many rows of the group come ahead of each entry."""
+    """Add ``before``: how many rows of the group come ahead of each entry; and, if named, the group's ``total``."""
     if bounded:
         window = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-        return counts.withColumn("before", F.coalesce(F.sum(count).over(window), F.lit(0)))
+        added = {"before": F.coalesce(F.sum(count).over(window), F.lit(0))}
+        if total:
+            added[total] = F.sum(count).over(W.partitionBy(*group))
+        return counts.withColumns(added)
     ordered = OrderedRows(counts, order, group)
-    return ordered.with_running(before=Running("sum", F.col(count), inclusive=False)).rows()
+    ranked = ordered.with_running(before=Running("sum", F.col(count), inclusive=False)).rows()
+    if not total:
+        return ranked
+    # The ordered entries are already materialised, so the totals cost no second pass over the input.
+    totals = ordered.rows().groupBy(*group).agg(F.sum(count).alias(total))
+    return ranked.join(totals, list(group))
 
 
 def weighted_quantiles(
@@ -64,20 +81,21 @@ def weighted_quantiles(
     """
     keys = list(group) or ["__all"]
     keyed = counts if group else counts.withColumn("__all", F.lit(0))
-    ranked = with_running_count(keyed, keys, order or [value], count, bounded)
-    totals = keyed.groupBy(*keys).agg(F.sum(count).alias("n"))
-    held = ranked.join(totals, keys)
+    held = with_running_count(keyed, keys, order or [value], count, bounded, total="n")
     until = F.col("before") + F.col(count)
-    picks, entries = [], []
+    picks, entries, wanted = [], [], F.lit(False)
     for i, p in enumerate(probs):
         position = (F.col("n") - 1) * F.lit(float(p))
         for side, rank in ((f"__lo{i}", F.floor(position)), (f"__hi{i}", F.ceil(position))):
-            picks.append(F.max(F.when((F.col("before") <= rank) & (rank < until), F.col(value))).alias(side))
+            here = (F.col("before") <= rank) & (rank < until)
+            wanted = wanted | here
+            picks.append(F.max(F.when(here, F.col(value))).alias(side))
         low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
         entries.append(F.struct(
             F.lit(float(p)).alias("p"), (low + (high - low) * (position - F.floor(position))).alias("quantile")
         ))
-    result = held.groupBy(*keys, "n").agg(*picks).select(*keys, "n", F.inline(F.array(*entries)))
+    # Only the few entries that hold a wanted rank go on to the grouping.
+    result = held.where(wanted).groupBy(*keys, "n").agg(*picks).select(*keys, "n", F.inline(F.array(*entries)))
     return result if group else result.drop("__all")
 
 
@@ -87,7 +105,7 @@ def grouped_quantiles(
     """Exact quantiles of several columns within groups of any size."""
     n = df.count() if n_rows is None else n_rows
     counts = value_counts_long(df, columns, group)
-    return weighted_quantiles(counts, probs, [*group, "column"], bounded=n <= WINDOW_ROWS)
+    return named(weighted_quantiles(counts, probs, [*group, "cid"], bounded=n <= WINDOW_ROWS), columns)
 
 
 def _merged_ranges(found: Sequence[float], probs: Sequence[float]) -> list[tuple[float, float]]:
@@ -112,33 +130,33 @@ def exact_quantiles(
     """Exact quantiles of whole columns -> (column, n, p, quantile); all-null columns give no row."""
     n = df.count() if n_rows is None else n_rows
     if n <= direct_rows:
-        return weighted_quantiles(value_counts_long(df, columns), probs, ["column"], bounded=True)
+        return named(weighted_quantiles(value_counts_long(df, columns), probs, ["cid"], bounded=True), columns)
 
     margin = 2.0 / SKETCH_ACCURACY
     marks = [m for p in probs for m in (max(0.0, p - margin), min(1.0, p + margin))]
     long = long_values(df, columns).where("value is not null")
     # One row per column: a bounded summary, read to place the ranges as literals.
-    sketch = long.groupBy("column").agg(
+    sketch = long.groupBy("cid").agg(
         F.percentile_approx("value", F.array(*[F.lit(m) for m in marks]), SKETCH_ACCURACY).alias("marks")
     ).collect()
-    segment = inside = None
+    segment = None
     for row in sketch:
         ranges = _merged_ranges(row["marks"], probs)
         steps = sum(
             ((F.col("value") >= low).cast("int") + (F.col("value") > high).cast("int") for low, high in ranges),
             F.lit(0),
         )
-        here = F.col("column") == row["column"]
+        here = F.col("cid") == row["cid"]
         segment = F.when(here, steps) if segment is None else segment.when(here, steps)
     if segment is None:
         return df.sparkSession.createDataFrame([], "column string, n bigint, p double, quantile double")
     tagged = long.withColumn("segment", segment)
     inside = F.when(F.col("segment") % 2 == 1, F.col("value"))
     counts = (
-        tagged.withColumn("value", inside).groupBy("column", "segment", "value").agg(F.count("*").alias("cnt"))
+        tagged.withColumn("value", inside).groupBy("cid", "segment", "value").agg(F.count("*").alias("cnt"))
     )
     # A range spans at most two margins of ranks on either side, so this bounds its distinct values.
     bounded = n * 4 * margin * len(probs) <= WINDOW_ROWS
-    result = weighted_quantiles(counts, probs, ["column"], order=["segment", "value"], bounded=bounded)
+    result = named(weighted_quantiles(counts, probs, ["cid"], order=["segment", "value"], bounded=bounded), columns)
     missed = F.raise_error(F.lit("a wanted rank fell outside its sketched range")).cast("double")
     return result.withColumn("quantile", F.coalesce("quantile", missed))

@@ -4,24 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..operators.profile import DATETIME_LAYOUTS, columns_of_kind, missing_summary, parse_datetime
+from ..operators.profile import TEXT_KINDS, TableProfile, columns_of_kind, missing_summary, value_kind
 from .findings import SHOWN_KEYS, empty_findings, table_finding
 
 # Missing shares (percent) that warn and that are errors, duplicate share that is an error.
 MISSING_WARNING = 5.0
 MISSING_CRITICAL = 30.0
 DUPLICATE_ERROR = 5.0
-# Texts that read as numbers.
-NUMBER_SHAPE = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
-
-
-def value_kind(c: Column) -> Column:
-    """numeric, datetime or string, for a non-null text."""
-    dated = F.when(F.length(c).between(8, 32), c)
-    is_date = F.coalesce(*[parse_datetime(dated, layout) for layout, _ in DATETIME_LAYOUTS]).isNotNull()
-    return F.when(c.rlike(NUMBER_SHAPE), "numeric").when(is_date, "datetime").otherwise("string")
 
 
 def type_mix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -31,18 +22,21 @@ def type_mix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in chosen
     ]))).where("value is not null").select("column", value_kind(F.col("value")).alias("kind"))
     return long.groupBy("column").agg(*[
-        F.count_if(F.col("kind") == kind).alias(kind) for kind in ("numeric", "datetime", "string")
+        F.count_if(F.col("kind") == kind).alias(kind) for kind in TEXT_KINDS
     ])
 
 
-def mixed_type_findings(df: DataFrame, start: int = 0) -> DataFrame:
+def mixed_type_findings(df: DataFrame, start: int = 0, profile: TableProfile | None = None) -> DataFrame:
+    """Text columns of more than one kind; a profile already knows the kinds and saves the scan."""
     texts = columns_of_kind(df, "string")
     if not texts:
         return empty_findings(df.sparkSession)
-    kinds = F.array_compact(F.array(*[
-        F.when(F.col(k) > 0, F.lit(k)) for k in ("numeric", "datetime", "string")
-    ]))
-    mixed = type_mix(df, texts).withColumn("kinds", kinds).where(F.size("kinds") > 1)
+    if profile:
+        known = [(c.column, list(c.kinds)) for c in profile.columns if len(c.kinds) > 1]
+        mixed = df.sparkSession.createDataFrame(known, "column string, kinds array<string>")
+    else:
+        kinds = F.array_compact(F.array(*[F.when(F.col(k) > 0, F.lit(k)) for k in TEXT_KINDS]))
+        mixed = type_mix(df, texts).withColumn("kinds", kinds).where(F.size("kinds") > 1)
     position = F.lit(start) + F.array_position(F.array(*[F.lit(c) for c in texts]), F.col("column")) - 1
     return mixed.select(*table_finding(
         "mixed_types", "warning", "schema", F.col("column"), F.lit(None),
@@ -53,9 +47,12 @@ def mixed_type_findings(df: DataFrame, start: int = 0) -> DataFrame:
 
 
 def missing_findings(
-    df: DataFrame, warning: float = MISSING_WARNING, critical: float = MISSING_CRITICAL, start: int = 0
+    df: DataFrame, warning: float = MISSING_WARNING, critical: float = MISSING_CRITICAL, start: int = 0,
+    profile: TableProfile | None = None,
 ) -> DataFrame:
-    summary = missing_summary(df).where(F.col("missing_pct") >= warning)
+    """Columns missing beyond the warning share; a profile already holds the counts and saves the scan."""
+    counted = profile.to_df(df.sparkSession) if profile else missing_summary(df)
+    summary = counted.where(F.col("missing_pct") >= warning)
     severe = F.col("missing_pct") >= critical
     position = F.lit(start) + F.array_position(F.array(*[F.lit(c) for c in df.columns]), F.col("column")) - 1
     return summary.select(*table_finding(
@@ -135,12 +132,15 @@ def duplicate_findings(df: DataFrame, key: Sequence[str], start: int = 0) -> Dat
     ))
 
 
-def constant_columns(df: DataFrame) -> DataFrame:
+def constant_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, unique_values): columns with no more than one distinct value, in tables of two rows or more.
 
     Smallest equals largest says the same as a distinct count of one, without the distinct.
     """
-    plain = [c for c, t in df.dtypes if not t.startswith(("map", "array", "struct", "variant"))]
+    plain = [
+        c for c, t in df.dtypes
+        if not t.startswith(("map", "array", "struct", "variant")) and (columns is None or c in columns)
+    ]
     entries = [
         F.struct(
             F.lit(c).alias("column"),
@@ -154,9 +154,13 @@ def constant_columns(df: DataFrame) -> DataFrame:
     return found.where("n > 1 and unique_values is not null").select("column", "unique_values")
 
 
-def constant_findings(df: DataFrame, start: int = 0) -> DataFrame:
+def constant_findings(df: DataFrame, start: int = 0, profile: TableProfile | None = None) -> DataFrame:
+    """Columns without variation; with a profile only columns whose values share one hash are looked at again."""
+    likely = [c.column for c in profile.columns if c.maybe_constant] if profile else None
+    if likely == [] or (profile and profile.row_count < 2):
+        return empty_findings(df.sparkSession)
     position = F.lit(start) + F.array_position(F.array(*[F.lit(c) for c in df.columns]), F.col("column")) - 1
-    return constant_columns(df).select(*table_finding(
+    return constant_columns(df, likely).select(*table_finding(
         "constant_column", "info", "schema", F.col("column"), F.lit(None),
         F.format_string(
             "Column '%s' has only %d unique value(s) — provides no analytical value", "column", "unique_values"

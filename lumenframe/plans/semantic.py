@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.quantiles import WINDOW_ROWS, long_values, weighted_quantiles
+from ..operators.quantiles import WINDOW_ROWS, long_values, named, weighted_quantiles
 from .findings import RowRule, empty_findings, table_finding
 
 # Texts standing in for "nothing" (compared lower-case and trimmed), bounds of columns by
@@ -89,9 +89,9 @@ def events_after_end(
 def roundness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n, round_share): share of values that are multiples of ten."""
     v = F.col("value")
-    return long_values(df, columns).where("value is not null").groupBy("column").agg(
+    return named(long_values(df, columns).where("value is not null").groupBy("cid").agg(
         F.count(v).alias("n"), F.avg((F.pmod(v, F.lit(float(ROUND_STEP))) == 0).cast("double")).alias("round_share")
-    )
+    ), columns)
 
 
 def roundness_findings(df: DataFrame, columns: Sequence[str], start: int = 0) -> DataFrame:

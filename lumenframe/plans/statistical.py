@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators.describe import choose_columns
-from ..operators.quantiles import exact_quantiles, long_values
+from ..operators.quantiles import exact_quantiles, long_values, named
 from .findings import RowRule
 
 # Thresholds, the smallest column that is checked, the share above which fence
@@ -44,9 +44,9 @@ def column_bounds(df: DataFrame, columns: Sequence[str], n_rows: int | None = No
     if not columns:
         return {}
     v = F.col("value")
-    moments = long_values(df, columns).groupBy("column").agg(
+    moments = named(long_values(df, columns).groupBy("cid").agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("ss"), F.stddev_pop(v).alias("sp")
-    )
+    ), columns)
     quartiles = exact_quantiles(df, columns, (0.25, 0.75), n_rows).groupBy("column").agg(
         F.max(F.when(F.col("p") == 0.25, F.col("quantile"))).alias("q1"),
         F.max(F.when(F.col("p") == 0.75, F.col("quantile"))).alias("q3"),

@@ -103,10 +103,10 @@ def validate(
         width = len(df.columns)
         start = 2 * _STEP
         parts += [
-            mixed_type_findings(df, start),
-            missing_findings(df, thresholds.missing_warning, thresholds.missing_critical, start + width),
+            mixed_type_findings(df, start, known),
+            missing_findings(df, thresholds.missing_warning, thresholds.missing_critical, start + width, known),
             duplicate_findings(df, key, start + 2 * width) if len(key) < width else empty_findings(df.sparkSession),
-            constant_findings(df, start + 2 * width + 1),
+            constant_findings(df, start + 2 * width + 1, known),
         ]
     if "semantic" in wanted:
         plain = [c for c in known.numeric if c not in known.identifier]
