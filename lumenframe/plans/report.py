@@ -63,12 +63,11 @@ def _block(flag: Column, head: Column | str, lines: Column) -> Column:
 
 
 def _scored(findings: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    rows, listed = quality_score(findings, by), _listed(findings, by)
     if by:
-        rows = quality_score(findings, by)
-        return rows.join(_listed(findings, by), list(by)), list(by)
-    keyed = findings.withColumn("__t", F.lit(0))
-    rows = quality_score(findings).withColumn("__t", F.lit(0))
-    return rows.join(F.broadcast(_listed(keyed, ["__t"])), "__t", "left"), []
+        return rows.join(listed, list(by)), list(by)
+    messages = listed.select(F.struct("errors", "warnings").alias("m")).scalar()
+    return rows.withColumn("__m", messages).select(*rows.columns, "__m.*"), []
 
 
 def summary_text(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:

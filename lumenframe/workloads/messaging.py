@@ -126,12 +126,16 @@ def tool_records(spark, sf_dir):
 
 @query("context_text")
 def context_text(spark, sf_dir):
-    """Profile and validation summary of the event table as one text."""
-    events = table(spark, sf_dir, "events")
-    known = profile.infer_profile(events)
-    lines = describe.text_profile(events, known).agg(F.array_join(F.transform(
+    """Profile and validation summary of two tables, one text each."""
+    profiles, found = [], []
+    for name, key in (("supplier", "s_suppkey"), ("nation", "n_nationkey")):
+        source = table(spark, sf_dir, name)
+        known = profile.infer_profile(source)
+        profiles.append(describe.text_profile(source, known).select(F.lit(name).alias("table"), "ordinal", "line"))
+        checked = validation.validate(source, [key], profile=known)
+        found.append(checked.select(F.lit(name).alias("table"), "*"))
+    lines = profiles[0].unionByName(profiles[1]).groupBy("table").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda x: x["line"]  # one line per column
-    ), "\n").alias("profile")).select(F.lit("events").alias("table"), "profile")
-    found = validation.validate(events, ["event_id"], profile=known, as_of="2024-01-20 00:00:00")
-    summary = report.summary_text(found).select(F.lit("events").alias("table"), "summary")
-    return conversation.context_text(lines, summary)
+    ), "\n").alias("profile"))
+    summaries = report.summary_text(found[0].unionByName(found[1]), ["table"]).select("table", "summary")
+    return conversation.context_text(lines, summaries)
