@@ -16,21 +16,21 @@ IDENTIFIER_SHARE = 0.9
 IDENTIFIER_MIN_ROWS = 10
 DATETIME_SHARE = 0.8
 TEXT_LENGTH = 50
-# Date layouts tried on text columns, each with the shape a value must have before it is parsed
-# (a failed parse costs an exception per row, a shape test does not).
+# Date layouts tried on text columns, each with its shape: the text with every digit written as 0. Only a
+# text of a known shape is parsed, so ordinary words cost one comparison.
 DATETIME_LAYOUTS = (
-    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
-    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
-    ("yyyy-MM-dd'T'HH:mm:ss", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"),
-    ("yyyy-MM-dd HH:mm:ss.SSSSSS", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{6}$"),
-    ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"),
-    ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
-    ("dd/MM/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
-    ("dd-MM-yyyy", r"^\d{2}-\d{2}-\d{4}$"),
-    ("dd.MM.yyyy", r"^\d{2}\.\d{2}\.\d{4}$"),
+    ("yyyy-MM-dd", "0000-00-00"),
+    ("yyyy-MM-dd HH:mm:ss", "0000-00-00 00:00:00"),
+    ("yyyy-MM-dd'T'HH:mm:ss", "0000-00-00T00:00:00"),
+    ("yyyy-MM-dd HH:mm:ss.SSSSSS", "0000-00-00 00:00:00.000000"),
+    ("yyyy/MM/dd", "0000/00/00"),
+    ("MM/dd/yyyy", "00/00/0000"),
+    ("dd/MM/yyyy", "00/00/0000"),
+    ("dd-MM-yyyy", "00-00-0000"),
+    ("dd.MM.yyyy", "00.00.0000"),
 )
 # Lengths a text may have to be tried as a date, and the kinds of text told apart.
-DATE_LENGTHS = (8, 32)
+DATE_LENGTHS = (10, 26)
 TEXT_KINDS = ("numeric", "datetime", "string")
 # Texts that read as numbers.
 NUMBER_SHAPE = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
@@ -44,17 +44,31 @@ PROFILE_SCHEMA = (
 )
 
 
+def _shape(c: Column) -> Column:
+    return F.when(F.length(c).between(*DATE_LENGTHS), F.translate(c, "123456789", "000000000"))
+
+
 def parse_datetime(c: Column, layout: str) -> Column:
     """Timestamp of a text in one layout, NULL where it does not fit."""
-    shape = dict(DATETIME_LAYOUTS)[layout]
-    return F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(layout)))
+    return F.when(_shape(c) == dict(DATETIME_LAYOUTS)[layout], F.try_to_timestamp(c, F.lit(layout)))
+
+
+def with_date_layouts(df: DataFrame, text: str) -> DataFrame:
+    """Add ``layouts``: the date layouts a text really reads in (empty for anything but a date)."""
+    shaped = df.withColumn("shape", _shape(F.col(text)))
+    fits = F.array_compact(F.array(*[
+        F.when((F.col("shape") == shape) & F.try_to_timestamp(F.col(text), F.lit(layout)).isNotNull(), F.lit(layout))
+        for layout, shape in DATETIME_LAYOUTS
+    ]))
+    known = F.col("shape").isin(sorted({shape for _, shape in DATETIME_LAYOUTS}))
+    return shaped.withColumn("layouts", F.when(known, fits)).drop("shape")
 
 
-def value_kind(c: Column) -> Column:
-    """numeric, datetime or string, for a non-null text."""
-    dated = F.when(F.length(c).between(*DATE_LENGTHS), c)
-    is_date = F.coalesce(*[parse_datetime(dated, layout) for layout, _ in DATETIME_LAYOUTS]).isNotNull()
-    return F.when(c.rlike(NUMBER_SHAPE), "numeric").when(is_date, "datetime").otherwise("string")
+def value_kind(text: str) -> Column:
+    """numeric, datetime or string, for a text column that has its ``layouts`` beside it."""
+    c = F.col(text)
+    kind = F.when(c.rlike(NUMBER_SHAPE), "numeric").when(F.size("layouts") > 0, "datetime").otherwise("string")
+    return F.when(c.isNotNull(), kind)
 
 
 @dataclass
@@ -237,16 +251,15 @@ def _measure_columns(df: DataFrame, kinds: dict[str, str], eligible: Sequence[st
             F.lit(name in eligible).alias("counted"),
         ))
     long = df.select(F.inline(F.array(*entries)))
-    kind = F.when(F.col("text").isNotNull(), value_kind(F.col("text")))
-    dated = F.when(F.length("text").between(*DATE_LENGTHS), F.col("text"))
-    found = long.withColumn("kind", kind).groupBy("cid").agg(
+    typed = with_date_layouts(long, "text").withColumn("kind", value_kind("text"))
+    found = typed.groupBy("cid").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if("there").alias("present"),
         F.avg(F.length("text")).alias("length"),
         F.approx_count_distinct(F.when(F.col("counted"), F.col("token")), _SKETCH_ERROR).alias("approx"),
-        (F.min("token").eqNullSafe(F.max("token"))).alias("one_token"),
+        F.min("token").eqNullSafe(F.max("token")).alias("one_token"),
         F.array(*[F.count_if(F.col("kind") == k) for k in TEXT_KINDS]).alias("kinds"),
-        F.array(*[F.count(parse_datetime(dated, layout)) for layout, _ in DATETIME_LAYOUTS]).alias("dates"),
+        F.array(*[F.count_if(F.array_contains("layouts", layout)) for layout, _ in DATETIME_LAYOUTS]).alias("dates"),
     ).collect()  # one row per column
     names = list(kinds)
     return (found[0]["rows"] if found else 0), {names[r["cid"]]: r for r in found}

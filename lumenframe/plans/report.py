@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Points each finding costs, most messages per severity, findings returned by the report.
 PENALTIES = {"error": 10, "warning": 3, "info": 1}
@@ -24,18 +24,23 @@ STORY_ERRORS = "**%d critical issue(s) need attention:**\n"
 STORY_WARNINGS = "\n**%d warning(s) to review:**\n"
 
 
+def _counted() -> list[Column]:
+    return [F.count("*").alias("finding_count"),
+            *[F.count_if(F.col("severity") == s).alias(f"{s}_count") for s in PENALTIES]]
+
+
+def _with_score(counted: DataFrame) -> DataFrame:
+    lost = sum((F.col(f"{s}_count") * p for s, p in PENALTIES.items()), F.lit(0))
+    return counted.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - lost)))
+
+
 def severity_counts(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return findings.groupBy(*by).agg(
-        F.count("*").alias("finding_count"),
-        *[F.count_if(F.col("severity") == s).alias(f"{s}_count") for s in PENALTIES],
-    )
+    return findings.groupBy(*by).agg(*_counted())
 
 
 def quality_score(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Severity counts and the 0-100 score: 100 minus 10, 3 or 1 points per finding."""
-    lost = sum((F.col(f"{s}_count") * p for s, p in PENALTIES.items()), F.lit(0))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - lost))
-    return severity_counts(findings, by).withColumn("score", score)
+    return _with_score(severity_counts(findings, by))
 
 
 def top_findings(findings: DataFrame, n: int = SHOWN_FINDINGS) -> DataFrame:
@@ -45,29 +50,23 @@ def top_findings(findings: DataFrame, n: int = SHOWN_FINDINGS) -> DataFrame:
     ).limit(n)
 
 
-def _listed(findings: DataFrame, by: Sequence[str]) -> DataFrame:
-    """First messages of each severity in report order, at most five each."""
-    order = W.partitionBy(*by, "severity").orderBy("position", "rule", "column")
-    first = findings.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= SHOWN_MESSAGES)
-    entry = F.struct("rn", "message", "suggestion")
-
-    def gather(severity: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("severity") == severity, entry)))
-
-    return first.groupBy(*by).agg(gather("error").alias("errors"), gather("warning").alias("warnings"))
-
-
 def _block(flag: Column, head: Column | str, lines: Column) -> Column:
     top = head if isinstance(head, Column) else F.lit(head)
     return F.when(flag, F.concat_ws("\n", top, F.array_join(lines, "\n")))
 
 
 def _scored(findings: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    rows, listed = quality_score(findings, by), _listed(findings, by)
-    if by:
-        return rows.join(listed, list(by)), list(by)
-    messages = listed.select(F.struct("errors", "warnings").alias("m")).scalar()
-    return rows.withColumn("__m", messages).select(*rows.columns, "__m.*"), []
+    """Counts, score and the first messages of each severity, from one pass over the findings.
+
+    A table has one finding per rule and column at most, so the list gathered for it is schema-sized.
+    """
+    entry = F.struct("position", "rule", "column", "severity", "message", "suggestion")
+    rows = findings.groupBy(*by).agg(*_counted(), F.array_sort(F.collect_list(entry)).alias("told"))
+
+    def first(severity: str) -> Column:
+        return F.slice(F.filter("told", lambda m: m["severity"] == severity), 1, SHOWN_MESSAGES)
+
+    return _with_score(rows).withColumns({"errors": first("error"), "warnings": first("warning")}), list(by)
 
 
 def summary_text(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -90,11 +89,11 @@ def narrative(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., narrative): the same content told as numbered lists, errors with their suggestion."""
     rows, keys = _scored(findings, by)
     n, e, w = F.col("finding_count"), F.col("error_count"), F.col("warning_count")
-    errors = F.transform("errors", lambda m: F.concat(
-        m["rn"].cast("string"), F.lit(". "), m["message"],
+    errors = F.transform("errors", lambda m, i: F.concat(
+        (i + 1).cast("string"), F.lit(". "), m["message"],
         F.when(m["suggestion"] != "", F.concat(F.lit("\n   *Suggestion:* "), m["suggestion"], F.lit("\n"))).otherwise(""),
     ))
-    warnings = F.transform("warnings", lambda m: F.concat(m["rn"].cast("string"), F.lit(". "), m["message"]))
+    warnings = F.transform("warnings", lambda m, i: F.concat((i + 1).cast("string"), F.lit(". "), m["message"]))
     text = F.concat_ws(
         "\n",
         F.format_string(STORY_HEAD, n, F.col("score")),

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.profile import TEXT_KINDS, TableProfile, columns_of_kind, missing_summary, value_kind
+from ..operators.profile import TEXT_KINDS, TableProfile, columns_of_kind, missing_summary, value_kind, with_date_layouts
 from .findings import SHOWN_KEYS, empty_findings, table_finding
 
 # Missing shares (percent) that warn and that are errors, duplicate share that is an error.
@@ -20,8 +20,9 @@ def type_mix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     chosen = list(columns) if columns else columns_of_kind(df, "string")
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in chosen
-    ]))).where("value is not null").select("column", value_kind(F.col("value")).alias("kind"))
-    return long.groupBy("column").agg(*[
+    ]))).where("value is not null")
+    typed = with_date_layouts(long, "value").select("column", value_kind("value").alias("kind"))
+    return typed.groupBy("column").agg(*[
         F.count_if(F.col("kind") == kind).alias(kind) for kind in TEXT_KINDS
     ])
 

@@ -81,27 +81,26 @@ def date_steps(df: DataFrame, columns: Sequence[str], key: Sequence[str] = ()) -
     return stepped.withColumn("gap_us", _micros("moment", "previous"))
 
 
-def gap_summary(steps: DataFrame) -> DataFrame:
+def gap_summary(steps: DataFrame, n_rows: int | None = None) -> DataFrame:
     """(column, n_dates, median_gap_us, n_gaps, largest_gap_us) of columns with at least ten dates.
 
     The median runs over row-to-row steps: repeated moments count as steps of zero length.
     """
-    lengths = steps.where("gap_us is not null").groupBy("column", F.col("gap_us").cast("double").alias("value")).agg(
-        F.count("*").alias("cnt")
-    )
-    zeros = steps.groupBy("column").agg(
-        F.lit(0.0).alias("value"), F.sum(F.col("rows_at") - 1).alias("cnt")
-    ).where("cnt > 0")
-    sizes = steps.groupBy("column").agg(F.sum("rows_at").alias("n_dates"), F.count("*").alias("n_moments"))
-    # One row per date column: read to decide how the median is ranked.
-    largest = sizes.agg(F.max("n_moments")).head()[0] or 0
+    by_gap = steps.groupBy("column", "gap_us").agg(F.count("*").alias("cnt"), F.sum("rows_at").alias("rows_at"))
+    sizes = by_gap.groupBy("column").agg(F.sum("rows_at").alias("n_dates"), F.sum("cnt").alias("n_moments"))
+    # A row count (one figure) decides how the median is ranked.
+    largest = n_rows if n_rows is not None else (sizes.agg(F.max("n_moments")).head()[0] or 0)
+    lengths = by_gap.where("gap_us is not null").select("column", F.col("gap_us").cast("double").alias("value"), "cnt")
+    zeros = sizes.select("column", F.lit(0.0).alias("value"), (F.col("n_dates") - F.col("n_moments")).alias("cnt"))
     median = weighted_quantiles(
-        lengths.unionByName(zeros), [0.5], ["column"], bounded=largest <= WINDOW_ROWS
+        lengths.unionByName(zeros.where("cnt > 0")), [0.5], ["column"], bounded=largest <= WINDOW_ROWS
     ).select("column", F.col("quantile").alias("median_gap_us"))
-    joined = steps.join(F.broadcast(median), "column")
+    # One median per date column.
+    joined = by_gap.join(F.broadcast(median), "column").where("median_gap_us > 0")
     wide = F.col("gap_us") > GAP_FACTOR * F.col("median_gap_us")
-    gaps = joined.where(F.col("median_gap_us") > 0).groupBy("column", "median_gap_us").agg(
-        F.count_if(wide).alias("n_gaps"), F.max(F.when(wide, F.col("gap_us"))).alias("largest_gap_us")
+    gaps = joined.groupBy("column", "median_gap_us").agg(
+        F.coalesce(F.sum(F.when(wide, F.col("cnt"))), F.lit(0)).alias("n_gaps"),
+        F.max(F.when(wide, F.col("gap_us"))).alias("largest_gap_us"),
     )
     return gaps.join(F.broadcast(sizes), "column").where(F.col("n_dates") >= GAP_MIN_DATES).select(
         "column", "n_dates", "median_gap_us", "n_gaps", "largest_gap_us"
@@ -117,16 +116,28 @@ def _duration(us: Column) -> Column:
     )
 
 
-def gap_findings(df: DataFrame, columns: Sequence[str], key: Sequence[str], start: int = 0) -> DataFrame:
+def gap_findings(
+    df: DataFrame, columns: Sequence[str], key: Sequence[str], start: int = 0, n_rows: int | None = None
+) -> DataFrame:
+    """One finding per date column with large gaps, listing the rows that end the first ten of them."""
+    spark = df.sparkSession
     if not columns:
-        return empty_findings(df.sparkSession)
+        return empty_findings(spark)
     steps = date_steps(df, columns, key)
-    gaps = gap_summary(steps).where("n_gaps > 0")
-    order = F.struct("moment", "first_key")
+    # One row per date column, read once: the gap length becomes a literal of the row filter below.
+    summary = gap_summary(steps, n_rows).where("n_gaps > 0")
+    rows = [tuple(r) for r in summary.collect()]
+    if not rows:
+        return empty_findings(spark)
+    gaps = spark.createDataFrame(rows, summary.schema)
+    limit = None
+    for column, _, median, _, _ in rows:
+        here = F.col("column") == column
+        value = F.lit(GAP_FACTOR * median)
+        limit = F.when(here, value) if limit is None else limit.when(here, value)
     listed = (
-        steps.join(F.broadcast(gaps.select("column", "median_gap_us")), "column")
-        .where(F.col("gap_us") > GAP_FACTOR * F.col("median_gap_us"))
-        .withColumn("rn", F.row_number().over(W.partitionBy("column").orderBy(order)))
+        steps.where(F.col("gap_us") > limit)
+        .withColumn("rn", F.row_number().over(W.partitionBy("column").orderBy("moment")))
         .where(F.col("rn") <= GAP_ROWS)
         .groupBy("column").agg(F.transform(
             F.array_sort(F.collect_list(F.struct(

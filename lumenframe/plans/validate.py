@@ -98,7 +98,7 @@ def validate(
     rules, positions = row_rules(dated, known, sorted(wanted), as_of, thresholds, totals, declared)
     parts = [row_findings(dated, rules, key, positions)]
     if "temporal" in wanted:
-        parts.append(gap_findings(dated, known.datetime, key, _STEP))
+        parts.append(gap_findings(dated, known.datetime, key, _STEP, known.row_count))
     if "schema" in wanted:
         width = len(df.columns)
         start = 2 * _STEP
