@@ -53,11 +53,17 @@ def pivot_quantiles(long: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 _STATS = ("count", "mean", "std", "min", "q25", "median", "q75", "max", "skewness", "kurtosis",
           "missing_count", "all_missing")
+_STATS_SCHEMA = (
+    "column string, count bigint, mean double, std double, min double, q25 double, median double, q75 double, "
+    "max double, skewness double, kurtosis double, missing_count bigint, all_missing boolean"
+)
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per numeric column (none for an empty table): count, moments, quartiles, range, missing."""
     chosen = choose_columns(df, columns)
+    if not chosen:
+        return df.sparkSession.createDataFrame([], _STATS_SCHEMA)
     quartiles = pivot_quantiles(exact_quantiles(df, chosen, QUARTILES), ["column"])
     # Both sides hold one row per column.
     return moments(df, chosen).join(F.broadcast(quartiles), "column", "left").select("column", *_STATS)
@@ -68,6 +74,8 @@ def grouped_summary(
 ) -> DataFrame:
     """The numeric summary within every group; rows without a group are left out."""
     chosen = [c for c in choose_columns(df, columns) if c != group_by]
+    if not chosen:
+        raise ValueError("No numeric columns to summarise by group.")
     present = df.where(_c(group_by).isNotNull())
     quartiles = pivot_quantiles(
         grouped_quantiles(present, chosen, [group_by], QUARTILES, n_rows), [group_by, "column"]

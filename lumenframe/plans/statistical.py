@@ -61,7 +61,10 @@ def _named(columns: Sequence[str], parts: Sequence[str]) -> list[str]:
 
 
 def impossible_value_rules(columns: Sequence[str]) -> list[RowRule]:
-    """Rules that follow from column names alone, so they need no pass over the data."""
+    """Rules that follow from column names alone, so they need no pass over the data.
+
+    The message texts of this and the other rule sets are fixed formats.
+    """
     rules = []
     for c in columns:
         v = F.col(f"`{c}`").cast("double")
@@ -141,7 +144,12 @@ def outlier_bounds(
 
 def outlier_rows(df: DataFrame, bounds: DataFrame, key: Sequence[str]) -> DataFrame:
     """Every outlier -> (key..., column, method, value); ``bounds`` holds one or two rows per column."""
-    columns = [c for c in df.columns if c in {r["column"] for r in bounds.select("column").collect()}]
+    bounded = {r["column"] for r in bounds.select("column").distinct().collect()}  # one row per column
+    columns = [c for c in df.columns if c in bounded]
+    if not columns:
+        empty = df.select(*key).where(F.lit(False))
+        return empty.select(*key, *[F.lit(None).cast(t).alias(c) for c, t in (
+            ("column", "string"), ("method", "string"), ("value", "double"))])
     long = df.select(F.struct(*key).alias("__key"), F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns
     ])))

@@ -123,3 +123,13 @@ def test_token_budget(spark):
                     truncate_to_budget(c, 2).alias("two"), truncate_to_budget(c, 1).alias("one")).head()
     assert (row.n, row.fits, row.two) == (2, True, "abcdefgh")
     assert row.one == "abcd\n... (truncated to fit context window)"
+
+
+def test_tables_without_numbers(spark):
+    from lumenframe.plans import statistical
+
+    df = spark.createDataFrame([("a", "b")], "k string, s string")
+    assert describe.numeric_summary(df).count() == 0
+    assert statistical.detect_outliers(df, ["k"]).count() == 0
+    with pytest.raises(ValueError):
+        describe.grouped_summary(df, "k")
