@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import debruijn, simhash
 from .shared import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,8 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 @query
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
