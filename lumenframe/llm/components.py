@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import keep
@@ -45,3 +46,15 @@ def _stars(links: DataFrame, upwards: bool) -> DataFrame:
         moved = joined.where("m <> least").select(F.col("m").alias("hi"), F.col("least").alias("lo")).unionByName(
             least.select(F.col("n").alias("hi"), F.col("least").alias("lo")))
     return moved.where("hi <> lo").distinct()
+
+
+def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Merge the sets of a[i] and b[i] in an array in which every member points to its set's smallest one."""
+    while len(a):
+        ra, rb = parent[a], parent[b]
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+        while not ((up := parent[parent]) == parent).all():
+            parent = up
+    return parent

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import debruijn, ngram_lm, simhash
+from . import debruijn, metric_join, ngram_lm, packing, simhash
 from .shared import read_table
+from .tokens import default_tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +29,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query
+def op5_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.range_join(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), default_tokenizer())
+
+
 @query
 def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))

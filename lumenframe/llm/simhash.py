@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .components import components
+from .components import components, unite
 from .shared import keep, text_slices
 
 HOT = 2048  # fingerprints of a bucket above which it is split once more
@@ -127,26 +127,11 @@ def search_forest(values: np.ndarray, tree: np.ndarray, radius: int, block: int
                 stack.append((query, np.concatenate(below_n)))
 
 
-def _roots(parent: np.ndarray) -> np.ndarray:
-    while True:
-        up = parent[parent]
-        if (up == parent).all():
-            return parent
-        parent = up
-
-
 def local_stars(values: np.ndarray, tree: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Join what the searches link into stars, at most one edge for each fingerprint of a bucket."""
     parent = np.arange(len(values))
     for a, b in search_forest(values, tree, radius):
-        while len(a):
-            ra, rb = parent[a], parent[b]
-            differ = ra != rb
-            if not differ.any():
-                break
-            a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
-            np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-            parent = _roots(parent)
+        parent = unite(parent, a, b)
     moved = np.flatnonzero(parent != np.arange(len(values)))
     return moved, parent[moved]
 
