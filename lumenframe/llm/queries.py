@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import debruijn, metric_join, ngram_lm, packing, simhash
+from . import debruijn, html_extract, metric_join, ngram_lm, packing, simhash
 from .shared import read_table
 from .tokens import default_tokenizer
 
@@ -39,6 +39,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), default_tokenizer())
 
 
+@query
+def op8_site_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 @query
 def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
