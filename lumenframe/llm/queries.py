@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import debruijn, html_extract, metric_join, ngram_lm, packing, simhash
+from . import debruijn, html_extract, metric_join, ngram_lm, packing, quality, secret_scan, simhash
 from .shared import read_table
 from .tokens import default_tokenizer
 
@@ -29,6 +29,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query
+def op4_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return secret_scan.digests(secret_scan.find_secrets(docs))
+
+
 @query
 def op5_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.range_join(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
@@ -39,6 +45,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), default_tokenizer())
 
 
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "quality")
+    trees = quality.train(docs, labels, usable=remainder(5) != 0)
+    return quality.score(docs.withColumn("held_out", remainder(5) == 0), trees).select(
+        "doc_id", "held_out", F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query
 def op8_site_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
