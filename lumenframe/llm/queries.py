@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import debruijn, html_extract, metric_join, ngram_lm, packing, quality, secret_scan, simhash
+from . import debruijn, decontaminate, html_extract, metric_join, ngram_lm, packing, quality, secret_scan, simhash, token_scan
 from .shared import read_table
 from .tokens import default_tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+END_OF_TEXT = 65_535  # an id that the vocabulary leaves free
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -60,11 +61,23 @@ def op8_site_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+@query
+def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.token_counts(read_table(spark, sf_dir, "documents", "doc_id", "text"), default_tokenizer(),
+                                   end_id=END_OF_TEXT)
+
+
 @query
 def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query
+def op2_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read_table(spark, sf_dir, "documents", "doc_id", "text"),
+                                 read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 @query
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text").withColumn("held_out", remainder(10) == 0)
