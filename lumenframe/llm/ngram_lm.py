@@ -24,7 +24,7 @@ from .shared import Words, load_array, mix, mounted, save_array, shared_path, te
 
 START = np.uint64(0xFFFFFFFF)  # context of a text's first word
 _END_HASH = np.uint64(0xE4D0F7E5)  # stands for the end token among the word hashes
-TASK_KEYS = 4_000_000  # keys a counting task gathers before it packs them
+TASK_KEYS = 6_000_000  # keys a counting task gathers before it packs them
 PART_KEYS = 3_000_000  # keys a part is planned for
 _BLOCK = "part int, keys binary, counts binary"
 _MANIFEST = "part int, n long, total long, n1 long, n2 long, n3 long, n4 long"
@@ -42,7 +42,7 @@ def _count_runs(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np
 
 def _pack(keys: np.ndarray, counts: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Cut counted keys into one row per part."""
-    codec = pa.Codec("zstd", 1)
+    codec = pa.Codec("zstd", 3)
     order = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[order], np.arange(int(part.max()) + 2)) if len(part) else [0]
     rows: dict[str, list] = {"part": [], "keys": [], "counts": []}
@@ -191,7 +191,8 @@ def train(docs: DataFrame, parts: int | None = None) -> Model:
     folder = mounted(shared_path(spark, "ngram-model"))
     texts = docs.select("text")
     size, starts = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    parts = parts or _plan_parts((size or 0) // 8)
+    pair_parts = max(1, -(-(size or 0) // 8 // PART_KEYS))
+    parts, pair_parts = (parts, parts + 1) if parts else (_plan_parts((size or 0) // 8), pair_parts)
 
     def merge_words(batches):
         for part, keys, counts in _gather(batches):
@@ -213,7 +214,7 @@ def train(docs: DataFrame, parts: int | None = None) -> Model:
         def pairs(rows: list[bytes]) -> np.ndarray:
             ids, _, before, _ = _sequences(rows, reader)
             return before << np.uint64(32) | ids
-        yield from _counted(pairs, _part_of_key(parts))(batches)
+        yield from _counted(pairs, _part_of_key(pair_parts))(batches)
 
     def merge_pairs(batches):
         for part, keys, counts in _gather(batches):
@@ -236,19 +237,19 @@ def train(docs: DataFrame, parts: int | None = None) -> Model:
                             *(int((ends == i).sum()) for i in range(1, 5)),
                             also=[int(table[i].sum()) for i in range(4)])
 
-    contexts = _reduce(_reduce(texts.mapInArrow(count_pairs, _BLOCK), parts, merge_pairs, _BLOCK),
+    contexts = _reduce(_reduce(texts.mapInArrow(count_pairs, _BLOCK), pair_parts, merge_pairs, _BLOCK),
                        parts, merge_contexts, _MANIFEST + ", c1 long, c2 long, c3 long, c4 long").collect()
     for p in set(range(parts + 1)) - {r.part for r in contexts}:
         length = vocabulary.bases[p + 1] - vocabulary.bases[p] if p < parts else 1
         save_array(_array(folder, "context", p), np.zeros((6, length), np.uint64))
     for name, kind in (("pair", np.uint64), ("pair-count", np.uint8), ("pair-big-at", np.uint64), ("pair-big", np.uint64)):
-        for p in range(parts):
+        for p in range(pair_parts):
             if not os.path.exists(_array(folder, name, p)):
                 save_array(_array(folder, name, p), np.zeros(0, kind))
     totals = lambda *names: [sum(r[n] for r in contexts) for n in names]
     d1, d2, d3 = word_discounts = discounts(*totals("n1", "n2", "n3", "n4"))
     continued, n1, n2, pairs = totals("n", "n1", "n2", "total")
-    return Model(vocabulary, discounts(*totals("c1", "c2", "c3", "c4")), word_discounts, pairs,
+    return Model(vocabulary, discounts(*totals("c1", "c2", "c3", "c4")), word_discounts, pair_parts, pairs,
                  d1 * n1 + d2 * n2 + d3 * (continued - n1 - n2), starts)
 
 
@@ -282,6 +283,7 @@ class Model:
     vocabulary: Vocabulary
     pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
+    pair_parts: int
     pairs: int  # distinct bigrams
     spared: float  # what the word discounts leave of them
     starts: int  # texts
@@ -311,12 +313,13 @@ class Scorer:
         vocabulary = model.vocabulary
         self.model, self.reader = model, Reader(vocabulary)
         folder, parts = vocabulary.folder, vocabulary.parts
-        load = lambda name, kind: [load_array(_array(folder, name, p), kind) for p in range(parts)]
-        self.counts, self.pairs = load("count", np.uint64), load("pair", np.uint64)
-        self.pair_counts, self.big_at, self.big = load("pair-count", np.uint8), load("pair-big-at", np.uint64), load(
-            "pair-big", np.uint64)
+        load = lambda name, kind, n: [load_array(_array(folder, name, p), kind) for p in range(n)]
+        self.counts, self.pairs = load("count", np.uint64, parts), load("pair", np.uint64, model.pair_parts)
+        self.pair_counts = load("pair-count", np.uint8, model.pair_parts)
+        self.big_at = load("pair-big-at", np.uint64, model.pair_parts)
+        self.big = load("pair-big", np.uint64, model.pair_parts)
         self.contexts = [load_array(_array(folder, "context", p), np.uint64).reshape(6, -1) for p in range(parts + 1)]
-        self.part_of_key = _part_of_key(parts)
+        self.part_of_key = _part_of_key(model.pair_parts)
 
     def figures(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         ids, known, before, first = _sequences(texts, self.reader)
