@@ -14,10 +14,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import keep
+from .shared import HashSet, hash_set, keep
 
 KINDS = ("assign", "access", "hex")  # base kinds, in order
 WIDE = ("key", "token", "random")  # the method's kinds
@@ -77,20 +78,23 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 _SPAN = "array<struct<kind:string,s:bigint,e:bigint,digest:string>>"
 
 
+def _found(text: str) -> list[tuple[str, int, int]]:
+    """All candidates of a text; wide ones that touch a base span are that span's and left out."""
+    found = base_spans(text)
+    taken = [(s, e) for _, s, e in found]
+    for kind, s, e in wide_spans(text):
+        if not any(s < b and a < e for a, b in taken):
+            taken.append((s, e))
+            found.append((kind, s, e))
+    return found
+
+
 def _scan_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text: its candidates with their digests; wide ones that touch a base span are that span's and left out."""
+    """Per text: its candidates with their digests."""
     span = pa.struct([("kind", pa.string()), ("s", pa.int64()), ("e", pa.int64()), ("digest", pa.string())])
     for batch in batches:
-        spans = []
-        for text in batch.column("text").to_pylist():
-            text = text or ""
-            found = base_spans(text)
-            taken = [(s, e) for _, s, e in found]
-            for kind, s, e in wide_spans(text):
-                if not any(s < b and a < e for a, b in taken):
-                    taken.append((s, e))
-                    found.append((kind, s, e))
-            spans.append([{"kind": k, "s": s, "e": e, "digest": _digest(text[s:e])} for k, s, e in found])
+        spans = [[{"kind": k, "s": s, "e": e, "digest": _digest(text[s:e])} for k, s, e in _found(text)]
+                 for text in (t or "" for t in batch.column("text").to_pylist())]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in ("doc_id", "owner", "key")), pa.array(spans, pa.list_(span))],
             ["doc_id", "owner", "key", "found"])
@@ -102,6 +106,25 @@ def _digest(candidate: str) -> str:
     return hashlib.sha256((own[2] if own else candidate).encode()).hexdigest()
 
 
+def _scanned(docs: DataFrame, owner: Column | None) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    key = F.xxhash64("doc_id", "text")
+    whose = owner if owner is not None else F.col("source")
+    return docs.select("doc_id", "text", F.coalesce(whose.cast("string"), key.cast("string")).alias("owner"),
+                       key.alias("key")).mapInArrow(
+        _scan_rows, f"doc_id {kind}, owner string, key long, found {_SPAN}")
+
+
+def _candidates(scanned: DataFrame) -> DataFrame:
+    return scanned.where(F.size("found") > 0).select("owner", "key", F.explode("found").alias("span")).select(
+        "owner", "key", "span", "span.digest")
+
+
+def _owner_counts(candidates: DataFrame) -> DataFrame:
+    """Owners of each candidate: distinct (digest, owner) pairs first, so that a copied one costs a row per task."""
+    return candidates.select("digest", "owner").distinct().groupBy("digest").agg(F.count("*").alias("owners"))
+
+
 def find_secrets(docs: DataFrame, owner: Column | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
     """(doc_id, key, base, live) per row: all base spans, and all spans, base or wide, that look live.
 
@@ -110,21 +133,13 @@ def find_secrets(docs: DataFrame, owner: Column | None = None, max_owners: int =
     exactly are one document to the counts and each get their spans; rows without doc_id are told apart by their
     text. Offsets are code points. Other columns are ignored.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    key = F.xxhash64("doc_id", "text")
-    whose = owner if owner is not None else F.col("source")
-    scanned = keep(docs.select("doc_id", "text", F.coalesce(whose.cast("string"), key.cast("string")).alias("owner"),
-                               key.alias("key")).mapInArrow(
-        _scan_rows, f"doc_id {kind}, owner string, key long, found {_SPAN}"), "candidates")
-    some = scanned.where(F.size("found") > 0)
-    candidates = some.select("owner", "key", F.explode("found").alias("span")).select(
-        "owner", "key", "span", "span.digest")
-    owners = candidates.groupBy("digest", "owner").agg(F.lit(1).alias("one")).groupBy("digest").agg(
-        F.count("*").alias("owners")).where(F.col("owners") <= max_owners)
+    scanned = keep(_scanned(docs, owner), "candidates")
+    candidates = _candidates(scanned)
+    owners = _owner_counts(candidates).where(F.col("owners") <= max_owners)
     live = candidates.select("key", "span", "digest").distinct().join(owners, "digest").groupBy("key").agg(
         F.collect_list("span").alias("live"))
     base = F.filter("found", lambda x: x["kind"].isin(*KINDS)).alias("base")
-    with_live = some.join(live, "key", "left").select(
+    with_live = scanned.where(F.size("found") > 0).join(live, "key", "left").select(
         "doc_id", "key", base, F.coalesce("live", F.array().cast(_SPAN)).alias("live"))
     return with_live.unionByName(scanned.where(F.size("found") == 0).select(
         "doc_id", "key", base, F.array().cast(_SPAN).alias("live")))
@@ -147,24 +162,28 @@ def digests(found: DataFrame) -> DataFrame:
                         text(ordered).alias("spans"))
 
 
-def redact(docs: DataFrame, found: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """``docs`` with the found spans of each text replaced by ``mask`` where they look live; texts without any stay as they are."""
-    marks = found.where(F.size("live") > 0).select(
-        F.col("key").alias("__key"), F.col("live").alias("__spans")).dropDuplicates(["__key"])
-    joined_docs = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(marks, "__key", "left")
+def copied_examples(docs: DataFrame, owner: Column | None = None, max_owners: int = MAX_OWNERS) -> HashSet:
+    """Digests of the candidates that more than ``max_owners`` owners hold, as a set that tasks can map."""
+    counts = _owner_counts(_candidates(_scanned(docs, owner)))
+    return hash_set(counts.where(F.col("owners") > max_owners).select(
+        F.conv(F.substring("digest", 1, 15), 16, 10).cast("long").alias("short")), "short", "copied-examples")
+
 
+def redact(docs: DataFrame, copied: HashSet, mask: str = "[secret]") -> DataFrame:
+    """``docs`` with every candidate that is not a copied example replaced by ``mask``; other texts stay as they are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = copied.reader()
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for i, spans in enumerate(batch.column("__spans").to_pylist()):
+            for i, text in enumerate(texts):
+                spans = _found(text or "")
                 if spans:
-                    texts[i] = _masked(texts[i], [(s["s"], s["e"]) for s in spans], mask)
-            columns = [pa.array(texts, pa.string()) if f == "text" else batch.column(f) for f in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    short = np.array([int(_digest(text[s:e])[:15], 16) for _, s, e in spans], np.int64)
+                    live = ~copied.contains(reader, short)
+                    texts[i] = _masked(text, [(s, e) for (_, s, e), x in zip(spans, live, strict=True) if x], mask)
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, batch.column("text").type))
 
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined_docs.select(*names, "__spans").mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:

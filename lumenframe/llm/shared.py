@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -117,3 +118,43 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         done += 8
         live = live[left > 8]
     return hashes
+
+
+@dataclass(frozen=True)
+class HashSet:
+    """64-bit values as sorted arrays in the shared folder, cut into parts by remainder."""
+
+    folder: str
+    parts: int
+
+    def reader(self) -> list[np.ndarray]:
+        return [load_array(f"{self.folder}/{p:06d}", np.int64) for p in range(self.parts)]
+
+    def contains(self, reader: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(values), bool)
+        for p in np.unique(values % self.parts).tolist():
+            table, own = reader[p], np.flatnonzero(values % self.parts == p)
+            if len(table):
+                at = np.minimum(np.searchsorted(table, values[own]), len(table) - 1)
+                found[own] = table[at] == values[own]
+        return found
+
+
+def hash_set(df: DataFrame, column: str, name: str, part_rows: int = 4_000_000) -> HashSet:
+    """Write the distinct values of a long column as a set that tasks can map; tables of any size are cut into parts."""
+    spark = df.sparkSession
+    values = keep(df.select(F.col(column).alias("value")).distinct(), name)
+    parts = max(1, -(-values.count() // part_rows))
+    made = HashSet(mounted(shared_path(spark, name)), parts)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), *(b.column("value").to_numpy() for b in batches)]
+        everything = np.sort(np.concatenate(held))
+        for p in np.unique(everything % parts).tolist():
+            save_array(f"{made.folder}/{p:06d}", everything[everything % parts == p])
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32())], ["part"])
+
+    written = values.repartition(parts, F.pmod("value", F.lit(parts))).mapInArrow(write, "part int").collect()
+    for p in set(range(parts)) - {r.part for r in written}:
+        save_array(f"{made.folder}/{p:06d}", np.zeros(0, np.int64))
+    return made

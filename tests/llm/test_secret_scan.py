@@ -58,8 +58,7 @@ def test_spans_and_ownership(docs):
 
 
 def test_redaction_leaves_copied_examples(docs):
-    found = secret_scan.find_secrets(docs)
-    out = secret_scan.redact(docs, found)
+    out = secret_scan.redact(docs, secret_scan.copied_examples(docs))
     assert out.columns == docs.columns
     texts = {r.doc_id: r.text for r in out.collect()}
     assert texts[1] == "my [secret] é" and texts[2] is None
