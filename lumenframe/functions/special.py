@@ -7,6 +7,7 @@ vectorised helpers; all the data volume is reduced by Spark before they run.
 from __future__ import annotations
 
 import math
+from itertools import count
 from statistics import NormalDist
 
 import numpy as np
@@ -21,7 +22,9 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     value = d
-    for m in range(1, 500):
+    for m in count(1):
+        if m > 10 * (1_000 + math.sqrt(max(a, b))):  # far beyond where the fraction settles
+            raise ArithmeticError(f"the p-value for a={a}, b={b}, x={x} does not converge")
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         for coefficient in (even, odd):

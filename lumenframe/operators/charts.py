@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .correlation import correlation_matrix, pair_correlations
 from .describe import value_counts
 from .profile import columns_of_kind
-from .quantiles import WINDOW_ROWS, value_counts_long, weighted_quantiles
+from .quantiles import exact_quantiles, value_counts_long
 from .sample import SEED
 
 # Bins of a histogram, bars and slices of value counts, aggregations on offer.
@@ -24,13 +24,11 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def aggregate_by(df: DataFrame, x: str, y: str, aggregation: str, n_rows: int | None = None) -> DataFrame:
+def aggregate_by(df: DataFrame, x: str, y: str, aggregation: str) -> DataFrame:
     """(x, y): sum, mean, count or exact median of y per value of x; rows without x are left out."""
     present = df.where(_c(x).isNotNull())
     if aggregation == "median":
-        counts = value_counts_long(present, [y], [x])
-        bounded = n_rows is not None and n_rows <= WINDOW_ROWS
-        medians = weighted_quantiles(counts, [0.5], [x, "cid"], bounded=bounded)
+        medians = exact_quantiles(present, [y], [0.5], [x])
         return medians.select(x, F.col("quantile").alias(y))
     functions = {"sum": F.sum, "mean": F.avg, "count": F.count}
     return present.groupBy(x).agg(functions[aggregation](_c(y)).alias(y))
@@ -86,23 +84,23 @@ def bar(df: DataFrame, x: str, y: str | None = None, color: str | None = None) -
     return df.where(_c(x).isNotNull()).groupBy(x, *extra).agg(F.sum(_c(y)).alias(y))
 
 
-def box(df: DataFrame, value: str, by: Sequence[str] = (), n_rows: int | None = None) -> DataFrame:
+def box(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., n, q1, median, q3, whisker_low, whisker_high, outliers) from value counts per group."""
     keys = list(by)
     present = df
     for k in keys:
         present = present.where(_c(k).isNotNull())
     counts = value_counts_long(present, [value], keys)
-    n = present.count() if n_rows is None else n_rows
-    quartiles = weighted_quantiles(counts, [0.25, 0.5, 0.75], [*keys, "cid"], bounded=n <= WINDOW_ROWS)
-    fences = quartiles.groupBy(*keys, "cid", "n").agg(*[
+    quartiles = exact_quantiles(present, [value], [0.25, 0.5, 0.75], keys)
+    fences = quartiles.groupBy(*keys, "n").agg(*[
         F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(name)
         for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))
     ])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     v = F.col("value")
-    return counts.join(fences, [*keys, "cid"]).groupBy(*keys, "n", "q1", "median", "q3").agg(
+    met = counts.join(fences, keys) if keys else counts.join(F.broadcast(fences.withColumn("cid", F.lit(0))), "cid")
+    return met.groupBy(*keys, "n", "q1", "median", "q3").agg(
         F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
         F.coalesce(F.sum(F.when(~inside, F.col("cnt"))), F.lit(0)).alias("outliers"),
     )

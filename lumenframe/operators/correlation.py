@@ -11,16 +11,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.moments import classify_strength
 from .describe import choose_columns
+from ..session import ensure_checkpoint_dir
 from .ordered import OrderedRows, Running
-from .quantiles import WINDOW_ROWS, value_counts_long, with_running_count
+from .quantiles import long_values, value_counts_long, with_running_count
 
 # Fewest columns and rows, reporting threshold, pairs listed.
 MIN_COLUMNS = 2
 MIN_ROWS = 3
 REPORT_THRESHOLD = 0.3
 REPORT_PAIRS = 20
-# Above this many columns the pair expansion gives way to one Gram matrix.
-PAIRWISE_COLUMNS = 40
 
 
 def _pair_table(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -54,37 +53,44 @@ def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
 
 
 def _gram_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson of many columns from one pass over assembled vectors; the k x k result is schema-sized."""
-    assembled = VectorAssembler(inputCols=list(columns), outputCol="v").transform(
-        df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    )
-    matrix = Correlation.corr(assembled, "v").head()[0].toArray()
-    rows = [
-        (columns[i], columns[j], None if matrix[i, j] != matrix[i, j] else float(matrix[i, j]))
-        for i, j in combinations(range(len(columns)), 2)
-    ]
-    n = df.count()
-    spark = df.sparkSession
-    return spark.createDataFrame(rows, "column_1 string, column_2 string, correlation double").select(
-        "column_1", "column_2", F.lit(n).cast("bigint").alias("n"), "correlation"
-    )
-
+    """Pearson of columns without missing values from one pass over assembled vectors, at any number of columns.
 
-def average_ranks(df: DataFrame, columns: Sequence[str], n_rows: int | None = None) -> DataFrame:
-    """Replace each column's values by their average ranks.
-
-    Ranks are computed once per distinct value and joined back; a frequent value is one row on the right and
-    a skewed left side, which adaptive execution splits or turns into a broadcast.
+    Values are centred and scaled first, so large means cost no digits. The driver reads a row of means and the
+    k x k result, both as large as the schema. A constant column gives NULL.
+    """
+    spark = df.sparkSession
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    names = numbers.columns
+    figures = numbers.agg(F.count("*").alias("n"), *[
+        f(c).alias(f"{c}_{kind}") for c in names for kind, f in (("mean", F.avg), ("std", F.stddev_pop))]).head()
+    values: dict[tuple[int, int], float] = {}
+    if figures["n"] > 1:
+        scaled = [(F.col(c) - F.lit(figures[f"{c}_mean"])) / F.lit(figures[f"{c}_std"]) if figures[f"{c}_std"]
+                  else F.lit(0.0) for c in names]
+        assembled = VectorAssembler(inputCols=names, outputCol="v").transform(
+            numbers.select(*[v.alias(c) for v, c in zip(scaled, names, strict=True)]))
+        matrix = Correlation.corr(assembled, "v").head()[0].toArray()
+        values = {(i, j): float(min(max(matrix[i, j], -1.0), 1.0)) for i, j in combinations(range(len(names)), 2)
+                  if figures[f"{names[i]}_std"] and figures[f"{names[j]}_std"]}
+    rows = [(a, b, figures["n"], values.get((i, j))) for (i, a), (j, b) in combinations(enumerate(columns), 2)]
+    return spark.createDataFrame(rows, "column_1 string, column_2 string, n bigint, correlation double")
+
+
+def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Replace each column's values by their average ranks, with one join whatever the number of columns.
+
+    The numbers are kept once, with a row id. In long form they give both the value counts that are ranked and the
+    rows that meet the ranks; a frequent value is one row on the rank side and a skewed other side, which adaptive
+    execution splits. One grouping by row id puts the ranks side by side again.
     """
-    n = df.count() if n_rows is None else n_rows
-    counts = value_counts_long(df, columns)
-    ranked = with_running_count(counts, ["cid"], ["value"], "cnt", n <= WINDOW_ROWS)
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.select(F.monotonically_increasing_id().alias("__id"), *[F.col(f"`{c}`") for c in columns]).checkpoint()
+    counts = value_counts_long(rows, columns)
+    ranked = with_running_count(counts, ["cid"], ["value"], "cnt")
     ranks = ranked.select("cid", "value", (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("rank"))
-    result = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    for i, c in enumerate(columns):
-        side = ranks.where(F.col("cid") == i).select(F.col("value").alias(c), F.col("rank").alias(f"__rank{i}"))
-        result = result.join(side, c, "left")
-    return result.select(*[F.col(f"__rank{i}").alias(c) for i, c in enumerate(columns)])
+    met = long_values(rows, columns, ["__id"]).join(ranks, ["cid", "value"], "left")
+    return met.groupBy("__id").agg(*[
+        F.max(F.when(F.col("cid") == i, F.col("rank"))).alias(c) for i, c in enumerate(columns)]).drop("__id")
 
 
 def kendall_tau(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -155,10 +161,7 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, method: st
             found = found.unionByName(part)
     elif method in ("pearson", "spearman"):
         source = complete if method == "pearson" else average_ranks(complete, chosen)
-        if len(chosen) > PAIRWISE_COLUMNS:
-            found = _gram_correlations(source, chosen)
-        else:
-            found = pair_correlations(source, pairs)
+        found = _gram_correlations(source, chosen)
     else:
         raise ValueError(f"Unknown method '{method}'. Supported: pearson, spearman, kendall")
     enough = F.col("n") >= MIN_ROWS
@@ -195,6 +198,6 @@ def significant_pairs(
 def strongest(upper: DataFrame, threshold: float = REPORT_THRESHOLD) -> DataFrame:
     """The strongest positive and the strongest negative significant pair (one row each, if any)."""
     pairs = significant_pairs(upper, threshold, None)
-    best = F.max_by(F.struct("column_1", "column_2", "correlation", "strength"),
-                    F.struct(F.abs("correlation")))
-    return pairs.groupBy("direction").agg(best.alias("b")).select("direction", "b.*")
+    best = F.min(F.struct(
+        (-F.abs("correlation")).alias("order"), "column_1", "column_2", "correlation", "strength"))
+    return pairs.groupBy("direction").agg(best.alias("b")).select("direction", "b.*").drop("order")

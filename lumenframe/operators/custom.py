@@ -13,8 +13,6 @@ from .sample import head, tail
 
 # Fixed value: rows of a table result before it is shortened to its first and last half.
 TABLE_ROWS = 30
-# Most pivot values looked up when none are given.
-PIVOT_VALUES = 100
 
 
 @dataclass(frozen=True)
@@ -40,8 +38,9 @@ def _sort_key(text: str) -> Column:
     return F.expr(text)
 
 
-def pivot_values(df: DataFrame, column: str, k: int = PIVOT_VALUES) -> list:
-    """The commonest values of a pivot column, in value order; more than ``k`` is an error."""
+def pivot_values(df: DataFrame, column: str) -> list:
+    """The values of a pivot column in order, each of which becomes a column; Spark's own limit for that holds."""
+    k = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
     found = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().limit(k + 1).collect()]
     if len(found) > k:
         raise ValueError(f"'{column}' has more than {k} values to pivot on; name the wanted ones")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.moments import excess_kurtosis, sample_skewness
 from ..functions.special import shapiro_wilk
 from .profile import TableProfile, columns_of_kind
-from .quantiles import exact_quantiles, grouped_quantiles, long_values, named
+from .quantiles import exact_quantiles, long_values, named
 
 QUARTILES = (0.25, 0.5, 0.75)
 # Sample sizes the normality test accepts and the level it decides at.
@@ -69,16 +69,14 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     return moments(df, chosen).join(F.broadcast(quartiles), "column", "left").select("column", *_STATS)
 
 
-def grouped_summary(
-    df: DataFrame, group_by: str, columns: Sequence[str] | None = None, n_rows: int | None = None
-) -> DataFrame:
+def grouped_summary(df: DataFrame, group_by: str, columns: Sequence[str] | None = None) -> DataFrame:
     """The numeric summary within every group; rows without a group are left out."""
     chosen = [c for c in choose_columns(df, columns) if c != group_by]
     if not chosen:
         raise ValueError("No numeric columns to summarise by group.")
     present = df.where(_c(group_by).isNotNull())
     quartiles = pivot_quantiles(
-        grouped_quantiles(present, chosen, [group_by], QUARTILES, n_rows), [group_by, "column"]
+        exact_quantiles(present, chosen, QUARTILES, [group_by]), [group_by, "column"]
     )
     return moments(present, chosen, [group_by]).join(quartiles, [group_by, "column"], "left").select(
         group_by, "column", *_STATS

@@ -37,7 +37,7 @@ def imputation_plan(df: DataFrame, profile: TableProfile, columns: Sequence[str]
     plan = report.withColumn("suggested_imputation", way)
     number = text = None
     if numbers:
-        medians = exact_quantiles(df, numbers, [0.5], profile.row_count).select(
+        medians = exact_quantiles(df, numbers, [0.5]).select(
             "column", F.col("quantile").alias("imputation_number")
         )
         plan, number = plan.join(F.broadcast(medians), "column", "left"), F.col("imputation_number")

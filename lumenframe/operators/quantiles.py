@@ -1,22 +1,22 @@
-"""Exact quantiles (linear interpolation) that never gather a large column in one task.
+"""Exact quantiles (linear interpolation) that never gather a column, or a group of any size, in one task.
 
-A table whose checked row count is small is ranked from its value counts directly. Beyond that, one sketch
-pass finds per column and probability a narrow value range certain to hold the wanted rank; a second pass
-keeps the distinct values of those ranges only and collapses everything between them to single counts.
-Grouped quantiles rank value counts through the bucketed running count of ``ordered``.
+One sketch pass finds for every group, column and probability a narrow value range certain to hold the wanted
+rank. A second pass keeps the distinct values of those ranges only and collapses everything between them to
+single counts. What is left is ranked through the bucketed running count of ``ordered``. The path is the same at
+every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .ordered import OrderedRows, Running
 
 SKETCH_ACCURACY = 10_000
-# Most distinct values one window partition may be asked to sort; checked against the row count.
-WINDOW_ROWS = 2_000_000
+# Widths of a range around a probability; a group takes the narrowest that covers the sketch's error and two ranks.
+RANGE_WIDTHS = (4 / SKETCH_ACCURACY, 40 / SKETCH_ACCURACY, 400 / SKETCH_ACCURACY, 1.0)
 
 
 def _name(c: str) -> Column:
@@ -48,22 +48,20 @@ def value_counts_long(df: DataFrame, columns: Sequence[str], group: Sequence[str
 
 
 def with_running_count(
-    counts: DataFrame, group: Sequence[str], order: Sequence[str], count: str, bounded: bool, total: str | None = None
+    counts: DataFrame, group: Sequence[str], order: Sequence[str], count: str, total: str | None = None,
+    few_groups: bool = False,
 ) -> DataFrame:
-    """Add ``before``: how many rows of the group come ahead of each entry; and, if named, the group's ``total``."""
-    if bounded:
-        window = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-        added = {"before": F.coalesce(F.sum(count).over(window), F.lit(0))}
-        if total:
-            added[total] = F.sum(count).over(W.partitionBy(*group))
-        return counts.withColumns(added)
+    """Add ``before``: how many rows of the group come ahead of each entry; and, if named, the group's ``total``.
+
+    ``few_groups`` says that groups are columns of a table, so that their totals can be broadcast.
+    """
     ordered = OrderedRows(counts, order, group)
     ranked = ordered.with_running(before=Running("sum", F.col(count), inclusive=False)).rows()
     if not total:
         return ranked
     # The ordered entries are already materialised, so the totals cost no second pass over the input.
     totals = ordered.rows().groupBy(*group).agg(F.sum(count).alias(total))
-    return ranked.join(totals, list(group))
+    return ranked.join(F.broadcast(totals) if few_groups else totals, list(group))
 
 
 def weighted_quantiles(
@@ -73,7 +71,7 @@ def weighted_quantiles(
     value: str = "value",
     count: str = "cnt",
     order: Sequence[str] | None = None,
-    bounded: bool = False,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Exact quantiles per group from (group, value, count) entries -> (group, n, p, quantile).
 
@@ -81,7 +79,7 @@ def weighted_quantiles(
     """
     keys = list(group) or ["__all"]
     keyed = counts if group else counts.withColumn("__all", F.lit(0))
-    held = with_running_count(keyed, keys, order or [value], count, bounded, total="n")
+    held = with_running_count(keyed, keys, order or [value], count, total="n", few_groups=few_groups or not group)
     until = F.col("before") + F.col(count)
     picks, entries, wanted = [], [], F.lit(False)
     for i, p in enumerate(probs):
@@ -99,64 +97,36 @@ def weighted_quantiles(
     return result if group else result.drop("__all")
 
 
-def grouped_quantiles(
-    df: DataFrame, columns: Sequence[str], group: Sequence[str], probs: Sequence[float], n_rows: int | None = None
-) -> DataFrame:
-    """Exact quantiles of several columns within groups of any size."""
-    n = df.count() if n_rows is None else n_rows
-    counts = value_counts_long(df, columns, group)
-    return named(weighted_quantiles(counts, probs, [*group, "cid"], bounded=n <= WINDOW_ROWS), columns)
-
-
-def _merged_ranges(found: Sequence[float], probs: Sequence[float]) -> list[tuple[float, float]]:
-    """Ranges of the probabilities in ascending order, overlapping ones joined."""
-    merged: list[tuple[float, float]] = []
-    for j in sorted(range(len(probs)), key=lambda i: probs[i]):
-        low, high = found[2 * j], found[2 * j + 1]
-        if merged and low <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
-        else:
-            merged.append((low, high))
-    return merged
-
-
 def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    n_rows: int | None = None,
-    direct_rows: int = WINDOW_ROWS,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], group: Sequence[str] = ()
 ) -> DataFrame:
-    """Exact quantiles of whole columns -> (column, n, p, quantile); all-null columns give no row."""
-    n = df.count() if n_rows is None else n_rows
-    if n <= direct_rows:
-        return named(weighted_quantiles(value_counts_long(df, columns), probs, ["cid"], bounded=True), columns)
-
-    margin = 2.0 / SKETCH_ACCURACY
-    marks = [m for p in probs for m in (max(0.0, p - margin), min(1.0, p + margin))]
-    long = long_values(df, columns).where("value is not null")
-    # One row per column: a bounded summary, read to place the ranges as literals.
-    sketch = long.groupBy("cid").agg(
-        F.percentile_approx("value", F.array(*[F.lit(m) for m in marks]), SKETCH_ACCURACY).alias("marks")
-    ).collect()
-    segment = None
-    for row in sketch:
-        ranges = _merged_ranges(row["marks"], probs)
-        steps = sum(
-            ((F.col("value") >= low).cast("int") + (F.col("value") > high).cast("int") for low, high in ranges),
-            F.lit(0),
-        )
-        here = F.col("cid") == row["cid"]
-        segment = F.when(here, steps) if segment is None else segment.when(here, steps)
-    if segment is None:
-        return df.sparkSession.createDataFrame([], "column string, n bigint, p double, quantile double")
-    tagged = long.withColumn("segment", segment)
-    inside = F.when(F.col("segment") % 2 == 1, F.col("value"))
-    counts = (
-        tagged.withColumn("value", inside).groupBy("cid", "segment", "value").agg(F.count("*").alias("cnt"))
+    """Exact quantiles of columns, whole or within groups of any size -> (group, column, n, p, quantile).
+
+    Columns without values give no row; rows with a NULL group are left out.
+    """
+    marks = [m for p in probs for w in RANGE_WIDTHS for m in (max(0.0, p - w), min(1.0, p + w))]
+    keys = [*group, "cid"]
+    long = long_values(df, columns, group).where("value is not null")
+    sketch = long.groupBy(*keys).agg(
+        F.percentile_approx("value", F.array(*[F.lit(m) for m in marks]), SKETCH_ACCURACY).alias("marks"),
+        (2.0 / SKETCH_ACCURACY + 2.0 / F.count("*")).alias("needed"),
     )
-    # A range spans at most two margins of ranks on either side, so this bounds its distinct values.
-    bounded = n * 4 * margin * len(probs) <= WINDOW_ROWS
-    result = named(weighted_quantiles(counts, probs, ["cid"], order=["segment", "value"], bounded=bounded), columns)
+    # Without groups the sketch has one row per column.
+    met = long.join(sketch if group else F.broadcast(sketch), keys)
+    level = F.lit(len(RANGE_WIDTHS) - 1)
+    for i in reversed(range(len(RANGE_WIDTHS) - 1)):
+        level = F.when(F.col("needed") <= RANGE_WIDTHS[i], i).otherwise(level)
+    first = [2 * (i * len(RANGE_WIDTHS) + level) for i in range(len(probs))]
+    ranges = [(F.get("marks", at), F.get("marks", at + 1)) for at in first]
+    # Each range adds a step where it begins and one where it ends, so the steps grow with the value and no
+    # stretch between ranges shares its number with another.
+    steps, inside = F.lit(0), F.lit(False)
+    for low, high in ranges:
+        steps = steps + (F.col("value") >= low).cast("int") + (F.col("value") > high).cast("int")
+        inside = inside | F.col("value").between(low, high)
+    counts = met.select(*keys, steps.alias("segment"), F.when(inside, F.col("value")).alias("value")).groupBy(
+        *keys, "segment", "value"
+    ).agg(F.count("*").alias("cnt"))
+    found = weighted_quantiles(counts, probs, keys, order=["segment", "value"], few_groups=not group)
     missed = F.raise_error(F.lit("a wanted rank fell outside its sketched range")).cast("double")
-    return result.withColumn("quantile", F.coalesce("quantile", missed))
+    return named(found, columns).withColumn("quantile", F.coalesce("quantile", missed))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import add
@@ -15,32 +17,26 @@ TOTAL_PARTS = ("total", "sum")
 SUM_TOLERANCE = 0.01
 
 
-def _stem(name: str) -> str:
-    for part in TOTAL_PARTS:
-        name = name.replace(part, "")
-    return name.strip("_")
+_TOTAL = re.compile("|".join(TOTAL_PARTS))
 
 
 def total_columns(columns: Sequence[str]) -> dict[str, list[str]]:
-    """Total column -> the columns that share its stem, where there are at least two."""
-    found = {}
-    for total in columns:
-        if any(p in total.lower() for p in TOTAL_PARTS):
-            stem = _stem(total.lower())
-            parts = [c for c in columns if c != total and stem and stem in c.lower()]
-            if len(parts) >= 2:
-                found[total] = parts
-    return found
+    """Total column -> its components: the columns that hold what its name says besides being a total, two or more."""
+    subjects = {c: _TOTAL.sub("", c.lower()).strip("_") for c in columns if _TOTAL.search(c.lower())}
+    components = {
+        total: [c for c in columns if subject in c.lower() and c != total]
+        for total, subject in subjects.items() if subject
+    }
+    return {total: parts for total, parts in components.items() if len(parts) > 1}
 
 
 def bound_pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
     """(minimum, maximum) columns whose names differ only in min/max."""
-    lows = [c for c in columns if "min" in c.lower()]
-    highs = [c for c in columns if "max" in c.lower()]
-    return [
-        (low, high) for low in lows for high in highs
-        if low.lower().replace("min", "") == high.lower().replace("max", "")
-    ]
+    highs = defaultdict(list)
+    for c in columns:
+        if "max" in c.lower():
+            highs[c.lower().replace("max", "")].append(c)
+    return [(low, high) for low in columns if "min" in low.lower() for high in highs[low.lower().replace("min", "")]]
 
 
 def sum_rules(columns: Sequence[str], totals: Mapping[str, Sequence[str]] | None = None) -> list[RowRule]:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.quantiles import WINDOW_ROWS, long_values, named, weighted_quantiles
+from ..operators.quantiles import exact_quantiles, long_values, named
 from .findings import RowRule, empty_findings, table_finding
 
 # Texts standing in for "nothing" (compared lower-case and trimmed), bounds of columns by
@@ -106,17 +106,15 @@ def roundness_findings(df: DataFrame, columns: Sequence[str], start: int = 0) ->
     ))
 
 
-def unit_mix(df: DataFrame, column: str, group_by: str, n_rows: int | None = None) -> DataFrame:
+def unit_mix(df: DataFrame, column: str, group_by: str) -> DataFrame:
     """(group, n, median, factor, n_scaled, share): values about ``factor`` times their group's median.
 
     Works from value counts, so a hot group is its distinct values; the median is exact at any group size.
     """
     v = F.col(f"`{column}`").cast("double")
-    counts = df.where(v.isNotNull() & F.col(group_by).isNotNull()).groupBy(
-        F.col(group_by), v.alias("value")
-    ).agg(F.count("*").alias("cnt"))
-    bounded = n_rows is not None and n_rows <= WINDOW_ROWS
-    medians = weighted_quantiles(counts, [0.5], [group_by], bounded=bounded).select(
+    present = df.where(v.isNotNull() & F.col(group_by).isNotNull())
+    counts = present.groupBy(F.col(group_by), v.alias("value")).agg(F.count("*").alias("cnt"))
+    medians = exact_quantiles(present, [column], [0.5], [group_by]).select(
         group_by, F.col("quantile").alias("median")
     )
     ratio = F.try_divide(F.col("value"), F.col("median"))

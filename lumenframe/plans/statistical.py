@@ -47,7 +47,7 @@ def column_bounds(df: DataFrame, columns: Sequence[str], n_rows: int | None = No
     moments = named(long_values(df, columns).groupBy("cid").agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("ss"), F.stddev_pop(v).alias("sp")
     ), columns)
-    quartiles = exact_quantiles(df, columns, (0.25, 0.75), n_rows).groupBy("column").agg(
+    quartiles = exact_quantiles(df, columns, (0.25, 0.75)).groupBy("column").agg(
         F.max(F.when(F.col("p") == 0.25, F.col("quantile"))).alias("q1"),
         F.max(F.when(F.col("p") == 0.75, F.col("quantile"))).alias("q3"),
     )

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..operators.ordered import OrderedRows
-from ..operators.quantiles import WINDOW_ROWS, weighted_quantiles
+from ..operators.quantiles import weighted_quantiles
 from .findings import RowRule, empty_findings, table_finding
 
 # Name parts of date pairs that have an order (earlier, later), the fewest dates a gap
@@ -23,18 +22,22 @@ GAP_ROWS = 10
 
 
 def date_pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
-    """(earlier, later) for each pair of date columns whose names match the first fitting hint."""
-    pairs = []
-    for a, b in combinations(columns, 2):
-        for first, second in ORDERED_PARTS:
-            if first in a.lower() and second in b.lower():
-                pairs.append((a, b))
-            elif first in b.lower() and second in a.lower():
-                pairs.append((b, a))
-            else:
-                continue
-            break
-    return pairs
+    """(earlier, later) date columns. Each column first gets the roles that its name tells: the hints in which it can be
+    earlier or later. Two columns that fill both roles of a hint are a pair, in the order of their first such hint."""
+    def roles(side: int) -> dict[str, set[int]]:
+        return {c: {i for i, parts in enumerate(ORDERED_PARTS) if parts[side] in c.lower()} for c in columns}
+
+    earlier, later = roles(0), roles(1)
+    place = {c: i for i, c in enumerate(columns)}
+    hints: dict[tuple[str, str], tuple[int, bool]] = {}
+    for first in columns:
+        for second in columns:
+            shared = earlier[first] & later[second]
+            if first != second and shared:
+                # Of both directions the lower hint wins, at equal hints the order of the columns.
+                hints[first, second] = min(shared), place[first] > place[second]
+    chosen = [pair for pair, hint in hints.items() if hint < hints.get(pair[::-1], (len(ORDERED_PARTS), True))]
+    return sorted(chosen, key=lambda pair: sorted((place[pair[0]], place[pair[1]])))
 
 
 def future_rules(columns: Sequence[str], as_of: str | None = None) -> list[RowRule]:
@@ -81,19 +84,17 @@ def date_steps(df: DataFrame, columns: Sequence[str], key: Sequence[str] = ()) -
     return stepped.withColumn("gap_us", _micros("moment", "previous"))
 
 
-def gap_summary(steps: DataFrame, n_rows: int | None = None) -> DataFrame:
+def gap_summary(steps: DataFrame) -> DataFrame:
     """(column, n_dates, median_gap_us, n_gaps, largest_gap_us) of columns with at least ten dates.
 
     The median runs over row-to-row steps: repeated moments count as steps of zero length.
     """
     by_gap = steps.groupBy("column", "gap_us").agg(F.count("*").alias("cnt"), F.sum("rows_at").alias("rows_at"))
     sizes = by_gap.groupBy("column").agg(F.sum("rows_at").alias("n_dates"), F.sum("cnt").alias("n_moments"))
-    # A row count (one figure) decides how the median is ranked.
-    largest = n_rows if n_rows is not None else (sizes.agg(F.max("n_moments")).head()[0] or 0)
     lengths = by_gap.where("gap_us is not null").select("column", F.col("gap_us").cast("double").alias("value"), "cnt")
     zeros = sizes.select("column", F.lit(0.0).alias("value"), (F.col("n_dates") - F.col("n_moments")).alias("cnt"))
     median = weighted_quantiles(
-        lengths.unionByName(zeros.where("cnt > 0")), [0.5], ["column"], bounded=largest <= WINDOW_ROWS
+        lengths.unionByName(zeros.where("cnt > 0")), [0.5], ["column"], few_groups=True
     ).select("column", F.col("quantile").alias("median_gap_us"))
     # One median per date column.
     joined = by_gap.join(F.broadcast(median), "column").where("median_gap_us > 0")
@@ -116,16 +117,14 @@ def _duration(us: Column) -> Column:
     )
 
 
-def gap_findings(
-    df: DataFrame, columns: Sequence[str], key: Sequence[str], start: int = 0, n_rows: int | None = None
-) -> DataFrame:
+def gap_findings(df: DataFrame, columns: Sequence[str], key: Sequence[str], start: int = 0) -> DataFrame:
     """One finding per date column with large gaps, listing the rows that end the first ten of them."""
     spark = df.sparkSession
     if not columns:
         return empty_findings(spark)
     steps = date_steps(df, columns, key)
     # One row per date column, read once: the gap length becomes a literal of the row filter below.
-    summary = gap_summary(steps, n_rows).where("n_gaps > 0")
+    summary = gap_summary(steps).where("n_gaps > 0")
     rows = [tuple(r) for r in summary.collect()]
     if not rows:
         return empty_findings(spark)

@@ -62,18 +62,35 @@ def test_sketched_quantiles_are_exact(spark, shape):
     }[shape]
     df = df.select(value.alias("v"))
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = {r.p: r["quantile"] for r in quantiles.exact_quantiles(df, ["v"], probs, direct_rows=0).collect()}
+    got = {r.p: r["quantile"] for r in quantiles.exact_quantiles(df, ["v"], probs).collect()}
     values = df.toPandas().v
     for p in probs:
         assert math.isclose(got[p], values.quantile(p), rel_tol=1e-12), p
 
 
-def test_unbounded_path_equals_window_path(spark):
+def test_weighted_quantiles_of_groups(spark):
     counts = spark.range(500).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("value"),
                                      (F.col("id") % 4 + 1).alias("cnt"))
-    def run(bounded):
-        return sorted(tuple(r) for r in quantiles.weighted_quantiles(counts, [0.3, 0.5], ["g"], bounded=bounded).collect())
-    assert run(True) == run(False)
+    got = {(r.g, r.p): r["quantile"] for r in quantiles.weighted_quantiles(counts, [0.3, 0.5], ["g"]).collect()}
+    pdf = counts.toPandas()
+    for g, own in pdf.groupby("g"):
+        values = own.loc[own.index.repeat(own.cnt)].value
+        for p in (0.3, 0.5):
+            assert math.isclose(got[g, p], values.quantile(p), rel_tol=1e-12)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 40, 60_000])
+def test_grouped_quantiles_take_one_path(spark, rows):
+    df = spark.range(rows).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("g"), F.col("id") % 40))
+        .alias("g"), F.pmod(F.xxhash64("id"), F.lit(4001)).cast("double").alias("v"),
+        F.when(F.col("id") % 7 > 0, F.col("id") % 5).alias("w"))
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {(r.g, r.column, r.p): r["quantile"] for r in quantiles.exact_quantiles(df, ["v", "w"], probs, ["g"]).collect()}
+    want = {(g, c, p): own[c].astype(float).quantile(p) for g, own in df.toPandas().groupby("g") for c in ("v", "w")
+            for p in probs if own[c].notna().any()}
+    assert set(got) == set(want)
+    assert all(math.isclose(got[k], want[k], rel_tol=1e-12, abs_tol=1e-12) for k in want)
 
 
 def test_categories_and_ties(spark):
