@@ -2,7 +2,8 @@
 
 A page is read once into blocks: runs of text that no block element interrupts, each with the hashes of the elements
 that hold it (tag, class and id names, and all text below). Spark counts on how many pages of a host each subtree
-hash occurs; subtrees on many of them are template and go, with everything below. What is left of the main element,
+hash occurs; subtrees on many of them are template. Their hashes, as a mapped set in the shared folder, go back to the
+pages, which are read once more; template subtrees go, with everything below. What is left of the main element,
 without navigation, notices, forms, adverts and reader comments, is the text.
 """
 
@@ -12,11 +13,12 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import keep
+from .shared import HashSet, hash_set, keep
 
 MIN_PAGES = 5  # pages of a host that hold a subtree before it counts as template ...
 MIN_SHARE = 0.2  # ... and their share of the host's pages,
@@ -152,22 +154,59 @@ def page_blocks(page: str) -> tuple[list[str], list[int], list[int], list[int],
             [int.from_bytes(e.digest.digest(), "little", signed=True) for e in elements], bool(main))
 
 
-def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: its blocks, and for each block the subtree hashes from the outermost element inwards."""
+def _subtree_names(hashes: list[int], host: str, main: bool) -> np.ndarray:
+    """Subtree hashes told apart by site, that is by host and by whether its pages mark their main element."""
+    site = xxhash.xxh64_intdigest(f"{host} {main}")
+    return np.array([xxhash.xxh64_intdigest((h & _FULL).to_bytes(8, "little"), site) for h in hashes],
+                    np.uint64).view(np.int64)
+
+
+_FULL = (1 << 64) - 1
+
+
+def _chains(holders: list[int], parents: list[int]) -> list[list[int]]:
+    """Elements that hold each block, from the outermost inwards."""
+    chains: dict[int, list[int]] = {-1: []}
+    for i, parent in enumerate(parents):
+        chains[i] = [*chains[parent], i]
+    return [chains[h] for h in holders]
+
+
+def _subtree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per page: its site, a digest of its text, and the subtrees that hold any of it."""
     for batch in batches:
-        blocks, chains, mains = [], [], []
-        for page in batch.column("html").to_pylist():
+        sites, contents, subtrees, mains = [], [], [], []
+        for page, host in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True):
             texts, holders, parents, hashes, main = page_blocks(page or "")
-            paths: dict[int, list[int]] = {-1: []}
-            for i, parent in enumerate(parents):
-                paths[i] = [*paths[parent], hashes[i]]
-            blocks.append(texts)
-            chains.append([paths[h] for h in holders])
+            used = sorted({e for chain in _chains(holders, parents) for e in chain})
+            sites.append(_signed(xxhash.xxh64_intdigest(f"{host} {main}")))
+            contents.append(_signed(xxhash.xxh64_intdigest("\n".join(texts))))
+            subtrees.append(np.unique(_subtree_names([hashes[e] for e in used], host, main)))
             mains.append(main)
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("row", "page_id", "url", "host")), pa.array(blocks, pa.list_(pa.string())),
-             pa.array(chains, pa.list_(pa.list_(pa.int64()))), pa.array(mains, pa.bool_())],
-            ["row", "page_id", "url", "host", "blocks", "chains", "main"])
+            [pa.array(sites, pa.int64()), pa.array(mains, pa.bool_()), pa.array(contents, pa.int64()),
+             pa.array(subtrees, pa.list_(pa.int64()))], ["site", "main", "content", "subtrees"])
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _text_rows(template: HashSet):
+    """Text of each page without its site's template."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = template.reader()
+        for batch in batches:
+            out = []
+            for page, host in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True):
+                texts, holders, parents, hashes, main = page_blocks(page or "")
+                gone = template.contains(reader, _subtree_names(hashes, host, main)) if host and hashes else ()
+                left = [t for t, chain in zip(texts, _chains(holders, parents), strict=True)
+                        if not any(gone[e] for e in chain)] if any(gone) else texts
+                out.append("\n".join(left or texts))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
+    return run
 
 
 def host_of(url: Column) -> Column:
@@ -187,24 +226,14 @@ def extract_text(
     rows are pages of their own; pages without a host are never compared. Other columns are ignored.
     """
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
-    read = keep(pages.select(
-        F.xxhash64("page_id", "url", "html").alias("row"), "page_id", "url", "html", host_of(F.col("url")).alias("host"),
-    ).mapInArrow(_read_rows, f"row long, page_id {kinds['page_id']}, url {kinds['url']}, host string, "
-                             "blocks array<string>, chains array<array<bigint>>, main boolean")
-        .withColumn("content", F.xxhash64("blocks")), "blocks")
-    site = ["host", "main"]
-    subtrees = read.where("host <> ''").select(
-        *site, "content", F.explode(F.array_distinct(F.flatten("chains"))).alias("subtree")).distinct()
-    counts = subtrees.groupBy(*site, "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    sizes = read.select(*site, "content").distinct().groupBy(*site).agg(F.count("*").alias("of"))
+    named = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    seen = keep(named.where("host <> ''").select("html", "host").mapInArrow(
+        _subtree_rows, "site long, main boolean, content long, subtrees array<bigint>"), "subtrees")
+    counts = seen.select("site", "main", "content", F.explode("subtrees").alias("subtree")).distinct().groupBy(
+        "site", "main", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    sizes = seen.select("site", "content").distinct().groupBy("site").agg(F.count("*").alias("of"))
     share = F.when(F.col("main"), main_share).otherwise(min_share)
-    template = counts.join(sizes, site).where(F.col("pages") >= share * F.col("of")).select(*site, "subtree")
-    found = read.select("row", *site, F.explode(F.array_distinct(F.flatten("chains"))).alias("subtree")).join(
-        template, [*site, "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("cut"))
-    paired = F.arrays_zip(F.col("blocks").alias("block"), F.col("chains").alias("chain"))
-    left = F.filter(paired, lambda x: ~F.arrays_overlap(x["chain"], F.col("cut")))
-    text = F.array_join(F.transform(left, lambda x: x["block"]), "\n")
-    whole = F.array_join("blocks", "\n")
-    joined = read.join(found, "row", "left").withColumn(
-        "text", F.when(F.col("cut").isNull(), whole).when(F.size(left) == 0, whole).otherwise(text))
-    return joined.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    template = counts.join(sizes, "site").where(F.col("pages") >= share * F.col("of"))
+    texts = named.mapInArrow(_text_rows(hash_set(template, "subtree", "template")),
+                             f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
