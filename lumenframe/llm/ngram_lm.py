@@ -177,7 +177,7 @@ def _sequences(texts: list[bytes], reader: Reader) -> tuple[np.ndarray, np.ndarr
 
 
 def _reduce(blocks: DataFrame, parts: int, run: Callable, schema: str) -> DataFrame:
-    return blocks.repartition(parts, "part").mapInArrow(run, schema)
+    return blocks.repartitionById(parts, "part").mapInArrow(run, schema)
 
 
 def _plan_parts(rows: int) -> int:

@@ -21,13 +21,20 @@ _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Read columns of a standard table; Python workers started later find this package."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    """Read columns of a standard table."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers find this package, and bound the bytes of a batch, so that long texts come in small ones."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BATCH_BYTES))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the cluster's shared folder, deleted when the application ends."""
+    prepare(spark)
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     context = spark.sparkContext
     target = context._jvm.org.apache.hadoop.fs.Path(path)
@@ -154,7 +161,7 @@ def hash_set(df: DataFrame, column: str, name: str, part_rows: int = 4_000_000)
             save_array(f"{made.folder}/{p:06d}", everything[everything % parts == p])
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32())], ["part"])
 
-    written = values.repartition(parts, F.pmod("value", F.lit(parts))).mapInArrow(write, "part int").collect()
+    written = values.repartitionById(parts, F.pmod("value", F.lit(parts)).cast("int")).mapInArrow(write, "part int").collect()
     for p in set(range(parts)) - {r.part for r in written}:
         save_array(f"{made.folder}/{p:06d}", np.zeros(0, np.int64))
     return made
