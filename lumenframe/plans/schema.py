@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.profile import TEXT_KINDS, TableProfile, columns_of_kind, missing_summary, value_kind, with_date_layouts
 from .findings import SHOWN_KEYS, empty_findings, table_finding
@@ -72,23 +72,37 @@ def missing_findings(
     ))
 
 
-def _compared(df: DataFrame, key: Sequence[str]) -> list[str]:
-    return [c for c in df.columns if c not in set(key)]
+def _digests(df: DataFrame, key: Sequence[str], surrogate: Sequence[str]) -> DataFrame:
+    """Each row as its key and two hashes of the compared columns: all but the named surrogates.
 
-
-def duplicate_groups(df: DataFrame, key: Sequence[str] = ()) -> DataFrame:
-    """Rows that occur more than once: the compared columns, copies, and the first key.
-
-    Copies are merged before the shuffle, so even a value held by a third of all rows moves once per task.
+    Whether a value is missing is hashed as well, so a hole in one column never looks like a hole in another.
     """
-    compared = _compared(df, key)
-    first = [F.min(F.struct(*[F.col(k) for k in key])).alias("first_key")] if key else []
-    return df.groupBy(*[F.col(f"`{c}`") for c in compared]).agg(F.count("*").alias("copies"), *first)
+    left_out = set(surrogate)
+    parts: list[Column] = []
+    for field in df.schema:
+        if field.name not in left_out:
+            c = F.col(f"`{field.name}`")
+            nested = field.dataType.typeName() in ("array", "map", "struct")
+            parts += [c.isNull(), F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if nested else c]
+    return df.withColumns({
+        "__d1": F.xxhash64(F.lit(1), *parts), "__d2": F.xxhash64(F.lit(2), *parts),
+        "__key": F.struct(F.lit(0).alias("_"), *[F.col(f"`{k}`") for k in key]),
+    })
+
+
+def duplicate_groups(df: DataFrame, key: Sequence[str] = (), surrogate: Sequence[str] = ()) -> DataFrame:
+    """Rows that agree in all compared columns, by their hashes: (__d1, __d2, copies, first_key).
+
+    Copies are merged before the shuffle, so even a row held by a third of the table moves once per task, and only
+    hashes and keys move.
+    """
+    return _digests(df, key, surrogate).groupBy("__d1", "__d2").agg(
+        F.count("*").alias("copies"), F.min("__key").alias("first_key"))
 
 
-def duplicate_summary(df: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+def duplicate_summary(df: DataFrame, key: Sequence[str] = (), surrogate: Sequence[str] = ()) -> DataFrame:
     """(row_count, duplicate_count, duplicate_pct): rows beyond the first of their kind."""
-    totals = duplicate_groups(df, key).agg(
+    totals = duplicate_groups(df, key, surrogate).agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("row_count"),
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_count"),
     )
@@ -96,30 +110,36 @@ def duplicate_summary(df: DataFrame, key: Sequence[str] = ()) -> DataFrame:
     return totals.withColumn("duplicate_pct", F.round(pct, 2))
 
 
-def duplicate_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Every row that repeats an earlier one (in key order), with all its columns.
+def _surplus(df: DataFrame, key: Sequence[str], surrogate: Sequence[str]) -> DataFrame:
+    """(__d1, __d2, __key, surplus): how many rows with a key repeat an earlier one; of a group's first key one is none."""
+    counted = _digests(df, key, surrogate).groupBy("__d1", "__d2", "__key").agg(F.count("*").alias("rows"))
+    groups = duplicate_groups(df, key, surrogate).where("copies > 1").drop("copies")
+    surplus = F.col("rows") - (F.col("__key") == F.col("first_key")).cast("int")
+    return counted.join(groups, ["__d1", "__d2"]).select("__d1", "__d2", "__key", surplus.alias("surplus")).where("surplus > 0")
+
 
-    The join meets one row per repeated value, so a hot value is a skewed left side that adaptive
-    execution splits; no window has to hold a whole group.
+def duplicate_rows(df: DataFrame, key: Sequence[str], surrogate: Sequence[str] = ()) -> DataFrame:
+    """Every row that repeats an earlier one (in key order), with all its columns, as often as it does.
+
+    Whole rows are shuffled once, to meet the hashes of the repeated ones; a row repeated with its key comes back
+    once for each surplus copy.
     """
-    compared = _compared(df, key)
-    marker = F.xxhash64(*[F.col(f"`{c}`") for c in compared])
-    groups = duplicate_groups(df, key).where("copies > 1").select(
-        marker.alias("__hash"), F.struct(*compared).alias("__same"), "first_key"
-    )
-    rows = df.withColumn("__hash", marker).withColumn("__row", F.struct(*compared))
-    here = F.struct(*[F.col(k) for k in key])
-    joined = rows.join(groups, ["__hash"]).where(
-        F.col("__row").eqNullSafe(F.col("__same")) & (here > F.col("first_key"))
-    )
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns])
+    extra = _surplus(df, key, surrogate)
+    met = _digests(df, key, surrogate).join(extra, ["__d1", "__d2", "__key"])
+    one = met.groupBy("__d1", "__d2", "__key", "surplus").agg(
+        F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("row"))
+    return one.select("row", F.explode(F.sequence(F.lit(1), F.col("surplus").cast("int")))).select("row.*")
 
 
-def duplicate_findings(df: DataFrame, key: Sequence[str], start: int = 0) -> DataFrame:
-    summary = duplicate_summary(df, key).where("duplicate_count > 0")
-    first = duplicate_rows(df, key).select(F.struct(*key).alias("k")).orderBy("k").limit(SHOWN_KEYS)
+def duplicate_findings(
+    df: DataFrame, key: Sequence[str], start: int = 0, surrogate: Sequence[str] = ()
+) -> DataFrame:
+    """One finding about rows that agree in all columns but the named surrogates, with the keys of the first surplus."""
+    summary = duplicate_summary(df, key, surrogate).where("duplicate_count > 0")
+    first = _surplus(df, key, surrogate).select("__key", F.explode(
+        F.sequence(F.lit(1), F.least("surplus", F.lit(SHOWN_KEYS)).cast("int")))).orderBy("__key").limit(SHOWN_KEYS)
     listed = first.agg(F.transform(
-        F.array_sort(F.collect_list("k")),
+        F.array_sort(F.collect_list("__key")),
         lambda k: F.concat_ws("|", *[k[name].cast("string") for name in key]),
     ).alias("keys"))
     n, pct = F.col("duplicate_count"), F.col("duplicate_pct")

@@ -39,7 +39,7 @@ class Bounds:
         return self.q1 - factor * spread, self.q3 + factor * spread
 
 
-def column_bounds(df: DataFrame, columns: Sequence[str], n_rows: int | None = None) -> dict[str, Bounds]:
+def column_bounds(df: DataFrame, columns: Sequence[str]) -> dict[str, Bounds]:
     """Bounds of all columns, read back as one row per column to become literals of the row scan."""
     if not columns:
         return {}
@@ -119,7 +119,6 @@ def statistical_rules(
 
 def outlier_bounds(
     df: DataFrame, columns: Sequence[str] | None = None, method: str = "iqr", threshold: float | None = None,
-    n_rows: int | None = None,
 ) -> DataFrame:
     """(column, method, threshold, lower_bound, upper_bound, n) per checked column.
 
@@ -127,7 +126,7 @@ def outlier_bounds(
     """
     chosen = choose_columns(df, columns)
     rows = []
-    for c, b in column_bounds(df, chosen, n_rows).items():
+    for c, b in column_bounds(df, chosen).items():
         if method in ("iqr", "both"):
             factor = FENCE_FACTOR if threshold is None else float(threshold)
             low, high = b.fences(factor)
@@ -166,10 +165,9 @@ def detect_outliers(
     columns: Sequence[str] | None = None,
     method: str = "iqr",
     threshold: float | None = None,
-    n_rows: int | None = None,
 ) -> DataFrame:
     """Outlier report per column and method: bounds, count, first ten values, first twenty row keys."""
-    bounds = outlier_bounds(df, columns, method, threshold, n_rows)
+    bounds = outlier_bounds(df, columns, method, threshold)
     found = outlier_rows(df, bounds, key)
     counts = found.groupBy("column", "method").agg(F.count("*").alias("outlier_count"))
     order = W.partitionBy("column", "method").orderBy(*key)

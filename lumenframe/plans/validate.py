@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from ..operators.profile import TableProfile, columns_of_kind, infer_profile
 from .cross_column import cross_column_rules
-from .findings import RowRule, empty_findings, row_findings, violations
+from .findings import RowRule, row_findings, violations
 from .report import summary_text
 from .schema import (
     MISSING_CRITICAL, MISSING_WARNING, constant_findings, duplicate_findings, missing_findings,
@@ -66,7 +66,7 @@ def row_rules(
 
     if "statistical" in wanted:
         if with_bounds:
-            bounds = column_bounds(df, numeric, profile.row_count)
+            bounds = column_bounds(df, numeric)
             add(statistical_rules(numeric, bounds, thresholds.z, thresholds.fence), 0)
         else:
             add(impossible_value_rules(numeric), 0)
@@ -90,22 +90,23 @@ def validate(
     thresholds: Thresholds = Thresholds(),
     totals: Mapping[str, Sequence[str]] | None = None,
     declared: Sequence[DeclaredRule] = (),
+    surrogate: Sequence[str] = (),
 ) -> DataFrame:
-    """All findings of the chosen checks. Row rules share one scan; ``key`` identifies a row."""
+    """All findings of the chosen checks. ``key`` identifies a row; ``surrogate`` columns do not tell copies apart."""
     wanted = _wanted(checks)
     known = profile or infer_profile(df)
     dated = known.with_datetimes(df)
     rules, positions = row_rules(dated, known, sorted(wanted), as_of, thresholds, totals, declared)
     parts = [row_findings(dated, rules, key, positions)]
     if "temporal" in wanted:
-        parts.append(gap_findings(dated, known.datetime, key, _STEP, known.row_count))
+        parts.append(gap_findings(dated, known.datetime, key, _STEP))
     if "schema" in wanted:
         width = len(df.columns)
         start = 2 * _STEP
         parts += [
             mixed_type_findings(df, start, known),
             missing_findings(df, thresholds.missing_warning, thresholds.missing_critical, start + width, known),
-            duplicate_findings(df, key, start + 2 * width) if len(key) < width else empty_findings(df.sparkSession),
+            duplicate_findings(df, key, start + 2 * width, surrogate),
             constant_findings(df, start + 2 * width + 1, known),
         ]
     if "semantic" in wanted:

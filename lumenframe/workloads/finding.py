@@ -225,37 +225,68 @@ def mixed_types(spark, sf_dir):
     return found.select("rule", "severity", "column", F.col("evidence")["types_found"].alias("types_found"))
 
 
-_COPIES_SQL = "(SELECT text, lang, n_chars, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY ALL)"
-
-
-def _documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+_COPIES_SQL = "(SELECT text, lang, source, n_chars, count(*) AS copies FROM documents GROUP BY ALL)"
+_REPEATS_SQL = """(SELECT *, row_number() OVER (PARTITION BY text, lang, source, n_chars ORDER BY doc_id) AS rn
+  FROM documents)"""
 
 
 @query("duplicate_summary", f"""SELECT sum(copies)::BIGINT AS row_count, sum(copies - 1)::BIGINT AS duplicate_count,
 round(100.0 * sum(copies - 1) / sum(copies), 2)::DOUBLE AS duplicate_pct FROM {_COPIES_SQL}""")
 def duplicate_summary(spark, sf_dir):
-    return schema.duplicate_summary(_documents(spark, sf_dir), ["doc_id"])
+    return schema.duplicate_summary(table(spark, sf_dir, "documents"), ["doc_id"], ["doc_id"])
 
 
-@query("duplicate_rows", """SELECT doc_id, lang, n_chars FROM (SELECT *, row_number() OVER (
-PARTITION BY text, lang, n_chars ORDER BY doc_id) AS rn FROM documents) WHERE rn > 1""")
+@query("duplicate_rows", f"SELECT doc_id, lang, source, n_chars FROM {_REPEATS_SQL} WHERE rn > 1")
 def duplicate_rows(spark, sf_dir):
-    return schema.duplicate_rows(_documents(spark, sf_dir), ["doc_id"]).drop("text")
+    return schema.duplicate_rows(table(spark, sf_dir, "documents"), ["doc_id"], ["doc_id"]).drop("text")
 
 
-@query("duplicate_findings", """SELECT 'duplicate_rows' AS rule,
-CASE WHEN 100.0 * count(*) / (SELECT count(*) FROM documents) < 5 THEN 'warning' ELSE 'error' END AS severity,
-count(*) AS n_rows, (SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FROM (
-  SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text, lang, n_chars ORDER BY doc_id) AS rn
-  FROM documents) WHERE rn > 1 ORDER BY doc_id LIMIT 20)) AS row_keys
-FROM (SELECT row_number() OVER (PARTITION BY text, lang, n_chars ORDER BY doc_id) AS rn FROM documents)
-WHERE rn > 1 HAVING count(*) > 0""")
-def duplicate_findings(spark, sf_dir):
-    found = schema.duplicate_findings(_documents(spark, sf_dir), ["doc_id"])
+def _duplicate_finding_sql(source: str, surplus: str, key: str) -> str:
+    return f"""SELECT 'duplicate_rows' AS rule,
+    CASE WHEN 100.0 * count(*) / (SELECT count(*) FROM {source}) < 5 THEN 'warning' ELSE 'error' END AS severity,
+    count(*) AS n_rows, (SELECT string_agg({key}::VARCHAR, ',' ORDER BY {key}) FROM (
+      SELECT {key} FROM {surplus} WHERE rn > 1 ORDER BY {key} LIMIT 20)) AS row_keys
+    FROM {surplus} WHERE rn > 1 HAVING count(*) > 0"""
+
+
+def _listed(found):
     return found.select("rule", "severity", "n_rows", F.array_join("row_keys", ",").alias("row_keys"))
 
 
+@query("duplicate_findings", _duplicate_finding_sql("documents", _REPEATS_SQL, "doc_id"))
+def duplicate_findings(spark, sf_dir):
+    return _listed(schema.duplicate_findings(table(spark, sf_dir, "documents"), ["doc_id"], 0, ["doc_id"]))
+
+
+# A load that was repeated in part: every seventh order comes twice and every 35th three times, keys included.
+_LOADED_TWICE_SQL = """(SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 7 = 0
+  UNION ALL SELECT * FROM orders WHERE o_orderkey % 35 = 0)"""
+_LOADED_SURPLUS_SQL = f"(SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY 1) AS rn FROM {_LOADED_TWICE_SQL})"
+
+
+def _loaded_twice(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.unionByName(orders.where("o_orderkey % 7 = 0")).unionByName(orders.where("o_orderkey % 35 = 0"))
+
+
+@query("duplicates_repeated_load", _duplicate_finding_sql(_LOADED_TWICE_SQL, _LOADED_SURPLUS_SQL, "o_orderkey"))
+def duplicates_repeated_load(spark, sf_dir):
+    return _listed(schema.duplicate_findings(_loaded_twice(spark, sf_dir), ["o_orderkey"]))
+
+
+@query("duplicate_rows_repeated_load", f"SELECT * EXCLUDE (rn) FROM {_LOADED_SURPLUS_SQL} WHERE rn > 1")
+def duplicate_rows_repeated_load(spark, sf_dir):
+    return schema.duplicate_rows(_loaded_twice(spark, sf_dir), ["o_orderkey"])
+
+
+@query("duplicates_equal_attributes", """SELECT count(*) AS row_count, (count(*) - count(DISTINCT (p_partkey, p_brand, p_size)))
+AS duplicate_count, round(100.0 * (count(*) - count(DISTINCT (p_partkey, p_brand, p_size))) / count(*), 2)::DOUBLE
+AS duplicate_pct FROM part""")
+def duplicates_equal_attributes(spark, sf_dir):
+    """Parts of one brand and size under different keys are different rows."""
+    return schema.duplicate_summary(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), ["p_partkey"])
+
+
 _CALENDAR = ("event_id", "event_year", "event_month", "event_day")
 _CALENDAR_SQL = """(SELECT event_id, year(ts) AS event_year, month(ts) AS event_month, day(ts) AS event_day FROM events)"""
 
@@ -391,7 +422,7 @@ _EVENT_FINDINGS_SQL = f"""(SELECT rule, severity, "column", n_rows FROM ({_stati
 UNION ALL SELECT 'future_date', 'warning', 'ts', count(*) FROM events WHERE ts > TIMESTAMP '{_AS_OF}' HAVING count(*) > 0
 UNION ALL SELECT 'date_gap', 'info', 'ts', n_gaps FROM ({_gaps_sql("ts", "events")}) WHERE n_gaps > 0
 UNION ALL SELECT 'duplicate_rows', CASE WHEN sum(c - 1) * 100.0 / sum(c) < 5 THEN 'warning' ELSE 'error' END, NULL,
-  sum(c - 1)::BIGINT FROM (SELECT count(*) AS c FROM events GROUP BY ts, user_id, event_type, value, props)
+  sum(c - 1)::BIGINT FROM (SELECT event_id, ts, user_id, event_type, value, props, count(*) AS c FROM events GROUP BY ALL)
   HAVING sum(c - 1) > 0)"""
 
 

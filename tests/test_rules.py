@@ -91,17 +91,27 @@ def test_opposite_missing_patterns(spark):
 def test_duplicates(spark, n, severity):
     rows = [(i, i, str(i)) for i in range(n - 1)] + [(n, 0, "0")]
     df = spark.createDataFrame(rows, "id bigint, x bigint, y string")
-    found = schema.duplicate_findings(df, ["id"]).collect()
+    found = schema.duplicate_findings(df, ["id"], 0, ["id"]).collect()
     assert [(f["severity"], f["n_rows"], f["row_keys"]) for f in found] == [(severity, 1, [str(n)])]
-    none = schema.duplicate_findings(df.where(f"id <> {n}"), ["id"])
+    none = schema.duplicate_findings(df.where(f"id <> {n}"), ["id"], 0, ["id"])
     assert none.count() == 0
 
 
+def test_duplicates_repeated_with_their_key(spark):
+    rows = [(1, "a"), (1, "a"), (2, "c"), (3, "b"), (4, "b"), (5, None), (None, "5"), (1, "a")]
+    df = spark.createDataFrame(rows, "id long, s string")
+    found = schema.duplicate_findings(df, ["id"]).head()
+    assert (found["n_rows"], found["row_keys"]) == (2, ["1", "1"])
+    assert sorted(tuple(r) for r in schema.duplicate_rows(df, ["id"]).collect()) == [(1, "a"), (1, "a")]
+    by_value = schema.duplicate_findings(df, ["id"], 0, ["id"]).head()
+    assert (by_value["n_rows"], by_value["row_keys"]) == (3, ["1", "1", "4"])
+
+
 def test_duplicates_with_nulls_and_a_hot_value(spark):
     df = spark.range(300).select("id", F.when(F.col("id") % 3 > 0, F.lit("same")).alias("v"), F.lit(None).cast("int").alias("w"))
-    row = schema.duplicate_summary(df, ["id"]).head()
+    row = schema.duplicate_summary(df, ["id"], ["id"]).head()
     assert (row["row_count"], row["duplicate_count"]) == (300, 298)
-    assert schema.duplicate_rows(df, ["id"]).count() == 298
+    assert schema.duplicate_rows(df, ["id"], ["id"]).count() == 298
 
 
 def test_totals(spark):
