@@ -51,11 +51,19 @@ def linear_trend_by_type(spark, sf_dir):
     return _fit(_event_values(spark, sf_dir, ["event_type"]))
 
 
-@query("trend_pvalue")
+# Fixed value: the two-sided 5 % point of the t distribution for the thousands of events of a type.
+_T_LIMIT = 1.96
+
+
+@query("trend_pvalue", f"""SELECT event_type, n, {r('t', 5)} AS t, abs(t) > {_T_LIMIT} AS is_significant,
+t = 0 OR abs(t) > {_T_LIMIT} AS below_five_percent FROM (SELECT event_type, count(*) AS n,
+corr(v, pos) * sqrt((count(*) - 2) / (1 - corr(v, pos) ** 2)) AS t FROM {_TYPED_EVENTS} GROUP BY event_type)""")
 def trend_pvalue(spark, sf_dir):
-    return trend.linear_trend(_event_values(spark, sf_dir, ["event_type"])).select(
-        "event_type", F.round("p_value", 8).alias("p_value"), "is_significant"
-    )
+    """The tested slope by its t value; the p-value must fall below five percent exactly where t is beyond its limit."""
+    found = trend.linear_trend(_event_values(spark, sf_dir, ["event_type"]))
+    t = F.signum("slope") * F.sqrt(F.col("r_squared") * (F.col("n") - 2) / (1 - F.col("r_squared")))
+    return rounded(found.select("event_type", "n", t.alias("t"), "is_significant",
+                                (F.col("p_value") < 0.05).alias("below_five_percent")), t=5)
 
 
 @query("time_range", """SELECT min(ts) AS "start", max(ts) AS "end", count(*) AS data_points FROM events""")
@@ -93,6 +101,32 @@ def rolling_mean(spark, sf_dir):
     return rounded(found.select("d", "pos", "rolling_mean"), rolling_mean=4)
 
 
+# One type of events has lost its name: its rows are a series of their own.
+_HOLED_EVENTS = """(SELECT nullif(event_type, 'click') AS kind, ts AS d, value AS v, event_id, event_id::DOUBLE AS id,
+  count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos
+  FROM events)"""
+
+
+def _holed_series(spark, sf_dir, value="value") -> trend.Series:
+    events = table(spark, sf_dir, "events").withColumn("kind", F.nullif("event_type", F.lit("click")))
+    return trend.series(events, "ts", value, ["event_id"], ["kind"])
+
+
+@query("rolling_mean_by_type", f"""SELECT kind, d, pos, {r("""CASE WHEN pos >= 6 THEN avg(v) OVER (
+PARTITION BY kind ORDER BY d, event_id ROWS 6 PRECEDING) END""", 4)} AS rolling_mean FROM {_HOLED_EVENTS}""")
+def rolling_mean_by_type(spark, sf_dir):
+    found = trend.rolling_mean(_holed_series(spark, sf_dir), 7)
+    return rounded(found.select("kind", "d", "pos", "rolling_mean"), rolling_mean=4)
+
+
+@query("moving_averages_by_type", "\nUNION ALL\n".join(
+    f"""SELECT kind, {w} AS "window", {r(f'avg(v) FILTER (pos >= n - {w})', 4)} AS latest_value,
+    CASE WHEN avg(v) FILTER (pos >= n - {w}) > avg(v) THEN 'above' ELSE 'below' END AS trend_vs_mean
+    FROM {_HOLED_EVENTS} GROUP BY kind HAVING count(*) >= {w}""" for w in trend.AVERAGE_WINDOWS))
+def moving_averages_by_type(spark, sf_dir):
+    return rounded(trend.moving_averages(_holed_series(spark, sf_dir)), latest_value=4)
+
+
 def _pattern_sql(source: str, part: str, points: int, least: float) -> str:
     return f"""SELECT found AS detected, CASE WHEN found THEN strongest END AS strongest, CASE WHEN found THEN weakest END AS weakest,
     CASE WHEN found THEN round(sd / abs(m) * 100, 2) END AS variation_pct FROM (
@@ -187,6 +221,32 @@ def change_points_thinned_events(spark, sf_dir):
     return trend.thin_changes(trend.change_candidates(_event_ids(spark, sf_dir)))
 
 
+_THIN_BY_TYPE_SQL = f"""WITH RECURSIVE s AS (SELECT coalesce(kind, '?') AS kind, pos, d, n, greatest(5, n // 10) AS w,
+    coalesce(sum(id) OVER (PARTITION BY kind ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS e
+    FROM {_HOLED_EVENTS}),
+  found AS (SELECT kind, pos, d, w, round(abs(rm - lm) / abs(lm) * 100, 2) AS shift_pct,
+    CASE WHEN rm > lm THEN 'increase' ELSE 'decrease' END AS direction, abs(rm - lm) / abs(lm) * 100 AS shift FROM (
+      SELECT a.kind, a.pos, a.d, a.w, (a.e - l.e) / a.w AS lm, (x.e - a.e) / a.w AS rm FROM s a
+      JOIN s l ON l.kind = a.kind AND l.pos = a.pos - a.w JOIN s x ON x.kind = a.kind AND x.pos = a.pos + a.w
+      WHERE a.pos >= a.w AND a.pos < a.n - a.w) WHERE lm <> 0),
+  c AS (SELECT kind, d, w, c.shift_pct, c.direction, row_number() OVER (PARTITION BY kind ORDER BY d) AS rn FROM (
+    SELECT kind, d, w, max_by({{'shift_pct': shift_pct, 'direction': direction}}, (shift_pct, -pos)) AS c
+    FROM found WHERE shift > 20 GROUP BY ALL)),
+  f AS (SELECT kind, rn, 1 AS slot, d, shift_pct, direction FROM c WHERE rn = 1
+    UNION ALL SELECT c.kind, c.rn, slot + CASE WHEN far THEN 1 ELSE 0 END, CASE WHEN take THEN c.d ELSE f.d END,
+    CASE WHEN take THEN c.shift_pct ELSE f.shift_pct END, CASE WHEN take THEN c.direction ELSE f.direction END
+    FROM f JOIN c ON c.kind = f.kind AND c.rn = f.rn + 1,
+    LATERAL (SELECT floor((epoch_us(c.d) - epoch_us(f.d)) / 86400000000) > c.w AS far),
+    LATERAL (SELECT far OR c.shift_pct > f.shift_pct AS take))
+  SELECT nullif(kind, '?') AS kind, max_by(d, rn) AS d, max_by(shift_pct, rn) AS shift_pct,
+  max_by(direction, rn) AS direction FROM f WHERE slot <= 5 GROUP BY kind, slot"""
+
+
+@query("change_points_thinned_by_type", _THIN_BY_TYPE_SQL)
+def change_points_thinned_by_type(spark, sf_dir):
+    return trend.thin_changes(trend.change_candidates(_holed_series(spark, sf_dir, "event_id")))
+
+
 @query("eda_summary")
 def eda_summary(spark, sf_dir):
     return eda.auto_eda(table(spark, sf_dir, "events"), ["event_id"])["summary"]
