@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.nulls import NULL_TOKENS, normalize_nulls
+from ..functions.nulls import NULL_TOKENS, normalize_nulls, null_tokens_to_null
 from .workbook import sheet_rows
 
 # File endings and the readers they lead to.
@@ -51,21 +51,24 @@ def _shaped(c, kind: str):
         return F.when(c.rlike(r"^[+-]?\d{1,19}$"), c.try_cast("bigint"))
     if kind == "double":
         return F.when(c.rlike(r"^[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[iI]nf(inity)?)$"), c.try_cast("double"))
+    if kind == "timestamp_ntz":
+        return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"), c.try_cast("timestamp_ntz"))
     return F.when(F.lower(c).isin("true", "false"), F.lower(c).try_cast("boolean"))
 
 
-def infer_text_types(df: DataFrame) -> DataFrame:
-    """Give each text column the narrowest type all its values read as: one aggregate over every row."""
-    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+def infer_text_types(df: DataFrame, keep: Sequence[str] = (), tried: Sequence[str] = _TRIED) -> DataFrame:
+    """Give each text column (but those of ``keep``) the narrowest type all its values read as: one aggregate over
+    every row."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in keep]
     if not texts:
         return df
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("v")) for c in texts
     ]))).where("v is not null")
     fits = long.groupBy("column").agg(
-        F.count("*").alias("n"), *[F.count(_shaped(F.trim("v"), t)).alias(t) for t in _TRIED]
+        F.count("*").alias("n"), *[F.count(_shaped(F.trim("v"), t)).alias(t) for t in tried]
     ).collect()  # one row per column
-    chosen = {r["column"]: next((t for t in _TRIED if r[t] == r["n"]), None) for r in fits}
+    chosen = {r["column"]: next((t for t in tried if r[t] == r["n"]), None) for r in fits}
     return df.select(*[
         _shaped(F.trim(F.col(f"`{c}`")), chosen[c]).alias(c) if chosen.get(c) else F.col(f"`{c}`")
         for c in df.columns
@@ -77,20 +80,53 @@ def read_csv(
     tokens: Sequence[str] = NULL_TOKENS,
 ) -> DataFrame:
     """CSV with a header. Without a schema everything is read as text, null markers are removed and types
-    are inferred from all rows; single-line records keep files splittable."""
+    are inferred from all rows; a schema names and types the columns in their order. Single-line records keep files splittable."""
     reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
-    if schema is not None:
-        return normalize_nulls(reader.schema(schema).csv(path))
     raw = reader.option("inferSchema", False).csv(path)
-    cleaned = raw.select(*[
-        F.when(~F.trim(F.col(f"`{c}`")).isin(list(tokens)), F.col(f"`{c}`")).alias(c) for c in raw.columns
-    ])
-    return infer_text_types(cleaned)
-
-
-def read_json(spark: SparkSession, path: str, lines: bool = True, schema: T.StructType | str | None = None) -> DataFrame:
-    """JSON lines (splittable), or with ``lines=False`` files holding one array of records each."""
-    reader = spark.read.option("multiLine", not lines)
+    if schema is not None:
+        wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        if len(raw.columns) != len(wanted):
+            raise ValueError(f"the file has {len(raw.columns)} columns, the schema {len(wanted)}")
+        raw = raw.toDF(*wanted.fieldNames())
+    cleaned = null_tokens_to_null(raw, tokens)
+    if schema is None:
+        return infer_text_types(cleaned)
+    return normalize_nulls(cleaned.select(*[
+        F.trim(F.col(f"`{f.name}`")).try_cast(f.dataType).alias(f.name) if not isinstance(f.dataType, T.StringType)
+        else F.col(f"`{f.name}`") for f in wanted]))
+
+
+def json_layout(spark: SparkSession, path: str) -> str:
+    """lines, records or columns, told from how the text begins: an array holds records; an object that ends on its
+    line is one of many lines, unless all it holds is objects, which makes it a table by columns."""
+    begun = spark.read.text(path).where(F.trim("value") != "").limit(1).select(
+        F.trim("value").alias("v"), F.from_json("value", "map<string,string>").isNotNull().alias("whole"),
+        F.from_json("value", _BY_COLUMN).isNotNull().alias("nested")).first()
+    if begun is None or begun.v.startswith("["):
+        return "records" if begun else "lines"
+    if begun.whole:
+        cells = spark.read.text(path).limit(1).select(F.map_values(F.from_json("value", "map<string,variant>")).alias("v"))
+        objects = cells.select(F.forall("v", lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT")))).first()
+        return "columns" if objects and objects[0] and begun.nested else "lines"
+    by_column = spark.read.text(path, wholetext=True).limit(1).select(F.from_json("value", _BY_COLUMN).isNotNull()).first()
+    return "columns" if by_column[0] else "records"
+
+
+_BY_COLUMN = "map<string,map<string,string>>"
+
+
+def read_json(
+    spark: SparkSession, path: str, lines: bool | None = None, schema: T.StructType | str | None = None
+) -> DataFrame:
+    """JSON lines (splittable), files holding one array of records each (``lines=False``), or tables by columns; unless
+    told, the layout is looked up."""
+    layout = json_layout(spark, path) if lines is None else "lines" if lines else "records"
+    if layout == "columns":
+        found = read_column_json(spark, path)
+        return found if schema is None else found.select(*[
+            F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name)
+            for f in (schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema))])
+    reader = spark.read.option("multiLine", layout == "records")
     if schema is not None:
         reader = reader.schema(schema)
     return normalize_nulls(reader.json(path))
@@ -111,27 +147,36 @@ def read_column_json(spark: SparkSession, path: str, columns: Sequence[str] | No
 
 
 def read_excel(
-    spark: SparkSession, path: str, schema: T.StructType | str, sheet: int = 0, header: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, sheet: int = 0, header: bool = True
 ) -> DataFrame:
     """First sheet of each workbook in a folder or pattern -> (file, row_no, columns...).
 
-    One workbook is one task's unit of work; a folder of them is read in parallel.
+    One workbook is one task's unit of work; a folder of them is read in parallel. Without a schema, the header gives
+    the names and all cells the types; date cells become timestamps.
     """
-    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    names = wanted.fieldNames()
-    raw_schema = "file string, row_no bigint, " + ", ".join(f"`{n}` string" for n in names)
+    return workbook_table(spark.read.format("binaryFile").load(path).select("path", "content"), schema, sheet, header)
+
 
+def workbook_table(
+    files: DataFrame, schema: T.StructType | str | None = None, sheet: int = 0, header: bool = True
+) -> DataFrame:
+    """The same from a table of workbooks (path, content)."""
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file, content in zip(batch["path"], batch["content"]):
+            for file, content in zip(batch["path"], batch["content"], strict=True):
                 rows = sheet_rows(content, sheet, header)
-                yield pd.DataFrame(
-                    [[file, i, *[row.get(n) for n in names]] for i, row in enumerate(rows)],
-                    columns=["file", "row_no", *names],
-                )
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    texts = files.mapInPandas(unpack, raw_schema)
-    return normalize_nulls(texts.select("file", "row_no", *[
-        F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted
-    ]))
+                yield pd.DataFrame({"file": [file] * len(rows), "row_no": range(len(rows)),
+                                    "cells": [list(row.items()) for row in rows]})
+
+    pairs = files.mapInPandas(unpack, "file string, row_no bigint, cells array<struct<name:string,text:string>>")
+    rows = pairs.select("file", "row_no", F.map_from_entries("cells").alias("cells"), F.transform(
+        "cells", lambda c: c["name"]).alias("names"))
+    if schema is not None:
+        wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        return normalize_nulls(rows.select("file", "row_no", *[
+            F.try_element_at("cells", F.lit(f.name)).try_cast(f.dataType).alias(f.name) for f in wanted]))
+    # One row per column: where it stands first, and its name.
+    found = rows.select(F.posexplode("names").alias("place", "name")).groupBy("name").agg(
+        F.min("place").alias("place")).orderBy("place", "name").collect()
+    texts = rows.select("file", "row_no", *[F.try_element_at("cells", F.lit(r.name)).alias(r.name) for r in found])
+    return normalize_nulls(infer_text_types(texts, keep=["file"], tried=(*_TRIED, "timestamp_ntz")))

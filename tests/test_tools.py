@@ -176,6 +176,67 @@ def test_excel_folder(spark, tmp_path):
     assert {r["row_no"] for r in df.collect()} == {0, 1}
 
 
+def _full_workbook(sheets, since_1904=False):
+    """A workbook whose first sheet is not the first part, with date and number styles."""
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
+        listed = links = ""
+        for i, rows in enumerate(sheets):
+            part = len(sheets) - i
+            listed += f'<sheet name="s{i}" sheetId="{i + 1}" r:id="r{i}"/>'
+            links += f'<Relationship Id="r{i}" Target="worksheets/sheet{part}.xml"/>'
+            cells = "".join("<row>" + "".join(
+                f'<c t="inlineStr"><is><t>{v}</t></is></c>' if isinstance(v, str) else
+                f'<c s="{v[1]}"><v>{v[0]}</v></c>' if isinstance(v, tuple) else "<c/>" if v is None else f"<c><v>{v}</v></c>"
+                for v in row) + "</row>" for row in rows)
+            archive.writestr(f"xl/worksheets/sheet{part}.xml",
+                             f'<worksheet xmlns="{main}"><sheetData>{cells}</sheetData></worksheet>')
+        archive.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><workbookPr date1904="'
+                         f'{int(since_1904)}"/><sheets>{listed}</sheets></workbook>')
+        archive.writestr("xl/_rels/workbook.xml.rels", f"<Relationships>{links}</Relationships>")
+        archive.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/>'
+                         '<numFmt numFmtId="165" formatCode="0.0&quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/>'
+                         '<xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>')
+    return buffer.getvalue()
+
+
+@pytest.mark.parametrize("since_1904", [False, True])
+def test_excel_without_schema(spark, tmp_path, since_1904):
+    days = 45292 - 1462 * since_1904
+    rows = [["id", "day", "moment", "amount", "note"], [1, (days, 1), (days + 0.5, 2), (1.5, 3), "x"],
+            [2, None, (days + 1, 2), (2, 3), None]]
+    path = tmp_path / "book.xlsx"
+    path.write_bytes(_full_workbook([rows, [["other"], [1]]], since_1904))
+    df = read_table(spark, str(path))
+    assert df.dtypes[2:] == [("id", "bigint"), ("day", "timestamp_ntz"), ("moment", "timestamp_ntz"),
+                             ("amount", "double"), ("note", "string")]
+    first, second = sorted(df.collect(), key=lambda r: r["row_no"])
+    assert str(first["day"]) == "2024-01-01 00:00:00" and str(first["moment"]) == "2024-01-01 12:00:00"
+    assert second["day"] is None and second["note"] is None and str(second["moment"]) == "2024-01-02 00:00:00"
+    assert read_excel(spark, str(path), sheet=1).columns == ["file", "row_no", "other"]
+
+
+@pytest.mark.parametrize(("text", "rows"), [
+    ('{"a":1,"b":"x"}\n{"a":2,"b":"y"}\n', 2), ('[{"a":1,"b":"x"},\n{"a":2,"b":"y"}]', 2),
+    ('{"a": {"0": 1, "1": 2}, "b": {"0": "x", "1": "y"}}', 2), ('{"a": {"0": 1,\n "1": 2},\n "b": {"0": "x", "1": "y"}}', 2),
+    ('{\n "a": 1,\n "b": "x"\n}', 1), ('\n {"a":1,"b":"x"}', 1),
+])
+def test_json_layout_is_looked_up(spark, tmp_path, text, rows):
+    path = tmp_path / "t.json"
+    path.write_text(text)
+    df = read_table(spark, str(path))
+    assert df.count() == rows and (1, "x") in {(r["a"], r["b"]) for r in df.collect()}
+
+
+def test_csv_markers_with_a_schema(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("a,b,c\n1,N/A,NULL\nNA, 2.5 ,x\n")
+    rows = read_csv(spark, str(path), schema="p int, q double, r string").collect()
+    assert [tuple(r) for r in rows] == [(1, None, None), (None, 2.5, "x")]
+
+
 def test_unsupported_format(spark):
     with pytest.raises(ValueError, match="Unsupported format"):
         read_table(spark, "/tmp/data.txt")
