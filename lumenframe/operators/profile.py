@@ -16,21 +16,29 @@ IDENTIFIER_SHARE = 0.9
 IDENTIFIER_MIN_ROWS = 10
 DATETIME_SHARE = 0.8
 TEXT_LENGTH = 50
-# Date layouts tried on text columns, each with its shape: the text with every digit written as 0. Only a
-# text of a known shape is parsed, so ordinary words cost one comparison.
+# Date layouts tried on text columns, each with the shape a text must have to be parsed in it, so ordinary words cost
+# a comparison or two. Days, months and hours may lack their leading zero; seconds, fractions and offsets may be absent.
+_CLOCK = r"\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)? ?(Z|[+-]\d{2}:?\d{2})?"
+_TIME, _TIME_SHAPE = "[ H:mm[:ss[.SSSSSSSSS]]]", r"( \d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?"
+_MONTH = r"[A-Za-z]{3,9}"
 DATETIME_LAYOUTS = (
-    ("yyyy-MM-dd", "0000-00-00"),
-    ("yyyy-MM-dd HH:mm:ss", "0000-00-00 00:00:00"),
-    ("yyyy-MM-dd'T'HH:mm:ss", "0000-00-00T00:00:00"),
-    ("yyyy-MM-dd HH:mm:ss.SSSSSS", "0000-00-00 00:00:00.000000"),
-    ("yyyy/MM/dd", "0000/00/00"),
-    ("MM/dd/yyyy", "00/00/0000"),
-    ("dd/MM/yyyy", "00/00/0000"),
-    ("dd-MM-yyyy", "00-00-0000"),
-    ("dd.MM.yyyy", "00.00.0000"),
+    ("yyyy-M-d", r"\d{4}-\d{1,2}-\d{1,2}"),
+    ("yyyy-M-d H:mm[:ss[.SSSSSSSSS]][ ][XXX][XX]", r"\d{4}-\d{1,2}-\d{1,2} " + _CLOCK),
+    ("yyyy-M-d'T'H:mm[:ss[.SSSSSSSSS]][ ][XXX][XX]", r"\d{4}-\d{1,2}-\d{1,2}T" + _CLOCK),
+    ("yyyy/M/d" + _TIME, r"\d{4}/\d{1,2}/\d{1,2}" + _TIME_SHAPE),
+    ("M/d/yyyy" + _TIME, r"\d{1,2}/\d{1,2}/\d{4}" + _TIME_SHAPE),
+    ("d/M/yyyy" + _TIME, r"\d{1,2}/\d{1,2}/\d{4}" + _TIME_SHAPE),
+    ("d-M-yyyy" + _TIME, r"\d{1,2}-\d{1,2}-\d{4}" + _TIME_SHAPE),
+    ("d.M.yyyy" + _TIME, r"\d{1,2}\.\d{1,2}\.\d{4}" + _TIME_SHAPE),
+    ("MMM d[,] yyyy" + _TIME, _MONTH + r" \d{1,2},? \d{4}" + _TIME_SHAPE),
+    ("MMMM d[,] yyyy" + _TIME, _MONTH + r" \d{1,2},? \d{4}" + _TIME_SHAPE),
+    ("d MMM yyyy" + _TIME, r"\d{1,2} " + _MONTH + r" \d{4}" + _TIME_SHAPE),
+    ("d MMMM yyyy" + _TIME, r"\d{1,2} " + _MONTH + r" \d{4}" + _TIME_SHAPE),
+    ("d-MMM-yyyy" + _TIME, r"\d{1,2}-" + _MONTH + r"-\d{4}" + _TIME_SHAPE),
 )
-# Lengths a text may have to be tried as a date, and the kinds of text told apart.
-DATE_LENGTHS = (10, 26)
+# Any date has a year of four digits beside another part.
+_DATE_LIKE = r"^\s*(\d{4}[-/]\d|\d{1,2}[-/. ][\dA-Za-z]+[-/. ]\d{4}|[A-Za-z]{3,9} \d{1,2},? \d{4})"
+# The kinds of text told apart.
 TEXT_KINDS = ("numeric", "datetime", "string")
 # Texts that read as numbers.
 NUMBER_SHAPE = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
@@ -44,24 +52,21 @@ PROFILE_SCHEMA = (
 )
 
 
-def _shape(c: Column) -> Column:
-    return F.when(F.length(c).between(*DATE_LENGTHS), F.translate(c, "123456789", "000000000"))
-
-
 def parse_datetime(c: Column, layout: str) -> Column:
-    """Timestamp of a text in one layout, NULL where it does not fit."""
-    return F.when(_shape(c) == dict(DATETIME_LAYOUTS)[layout], F.try_to_timestamp(c, F.lit(layout)))
+    """Timestamp of a text in one layout, known or a caller's own, NULL where it does not fit."""
+    text = F.trim(c)
+    moment = F.try_to_timestamp(text, F.lit(layout))
+    shape = dict(DATETIME_LAYOUTS).get(layout)
+    return F.when(text.rlike(f"^(?:{shape})$"), moment) if shape else moment
 
 
 def with_date_layouts(df: DataFrame, text: str) -> DataFrame:
     """Add ``layouts``: the date layouts a text really reads in (empty for anything but a date)."""
-    shaped = df.withColumn("shape", _shape(F.col(text)))
+    c = F.col(text)
     fits = F.array_compact(F.array(*[
-        F.when((F.col("shape") == shape) & F.try_to_timestamp(F.col(text), F.lit(layout)).isNotNull(), F.lit(layout))
-        for layout, shape in DATETIME_LAYOUTS
+        F.when(parse_datetime(c, layout).isNotNull(), F.lit(layout)) for layout, _ in DATETIME_LAYOUTS
     ]))
-    known = F.col("shape").isin(sorted({shape for _, shape in DATETIME_LAYOUTS}))
-    return shaped.withColumn("layouts", F.when(known, fits)).drop("shape")
+    return df.withColumn("layouts", F.when(c.rlike(_DATE_LIKE), fits))
 
 
 def value_kind(text: str) -> Column:

@@ -31,6 +31,38 @@ def missing_summary(spark, sf_dir):
     return profile.missing_summary(labeled_documents(spark, sf_dir))
 
 
+# Order dates written in ten ways: Spark's pattern and the layout it must be recognised in.
+_WRITTEN = {
+    "iso_zone": ("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-M-d'T'H:mm[:ss[.SSSSSSSSS]][ ][XXX][XX]"),
+    "iso_offset": ("yyyy-MM-dd'T'HH:mm:ss'+00:00'", "yyyy-M-d'T'H:mm[:ss[.SSSSSSSSS]][ ][XXX][XX]"),
+    "millis": ("yyyy-MM-dd HH:mm:ss.SSS", "yyyy-M-d H:mm[:ss[.SSSSSSSSS]][ ][XXX][XX]"),
+    "minutes": ("yyyy-MM-dd HH:mm", "yyyy-M-d H:mm[:ss[.SSSSSSSSS]][ ][XXX][XX]"),
+    "plain": ("yyyy-MM-dd", "yyyy-M-d"), "unpadded": ("M/d/yyyy", "M/d/yyyy[ H:mm[:ss[.SSSSSSSSS]]]"),
+    "dotted": ("d.M.yyyy", "d.M.yyyy[ H:mm[:ss[.SSSSSSSSS]]]"), "slashed": ("yyyy/M/d", "yyyy/M/d[ H:mm[:ss[.SSSSSSSSS]]]"),
+    "short_name": ("MMM d, yyyy", "MMM d[,] yyyy[ H:mm[:ss[.SSSSSSSSS]]]"),
+    "day_first": ("d MMM yyyy", "d MMM yyyy[ H:mm[:ss[.SSSSSSSSS]]]"),
+}
+
+
+def _written_dates(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(*[
+        F.date_format("o_orderdate", pattern).alias(name) for name, (pattern, _) in _WRITTEN.items()])
+
+
+@query("date_layouts", union_all([
+    f"""SELECT '{name}' AS "column", count(*) AS row_count, 'datetime' AS semantic_class,
+    min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM orders""" for name in _WRITTEN]))
+def date_layouts(spark, sf_dir):
+    written = _written_dates(spark, sf_dir)
+    found = profile.infer_profile(written)
+    dated = found.with_datetimes(written)
+    spans = [F.struct(
+        F.lit(c.column).alias("column"), F.count(F.lit(1)).alias("row_count"), F.lit(c.semantic_class).alias("semantic_class"),
+        F.min(F.col(c.column).cast("timestamp_ntz")).alias("first_date"),
+        F.max(F.col(c.column).cast("timestamp_ntz")).alias("last_date")) for c in found.columns]
+    return dated.agg(F.array(*spans).alias("s")).select(F.inline("s"))
+
+
 _CLASS_COLUMNS = {
     "customer": (("c_custkey", "num"), ("c_name", "text"), ("c_nationkey", "int"), ("c_acctbal", "num"),
                  ("c_mktsegment", "text")),

@@ -216,6 +216,20 @@ def type_mix_orders(spark, sf_dir):
     return schema.type_mix(_stamped(spark, sf_dir))
 
 
+_DATE_TEXTS = ("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm", "M/d/yyyy", "MMM d, yyyy", "d.M.yyyy")
+
+
+@query("type_mix_dates", """SELECT 'note' AS "column", count(*) FILTER (o_orderkey % 7 = 6) AS "numeric",
+count(*) FILTER (o_orderkey % 7 < 5) AS "datetime", count(*) FILTER (o_orderkey % 7 = 5) AS "string" FROM orders""")
+def type_mix_dates(spark, sf_dir):
+    """Dates in five layouts between words and numbers of one column."""
+    kind = F.col("o_orderkey") % 7
+    note = F.when(kind == 5, F.col("o_orderpriority")).when(kind == 6, F.col("o_orderkey").cast("string"))
+    for i, pattern in enumerate(_DATE_TEXTS):
+        note = note.when(kind == i, F.date_format("o_orderdate", pattern))
+    return schema.type_mix(table(spark, sf_dir, "orders").select(note.alias("note")))
+
+
 @query("mixed_types", f"""SELECT 'mixed_types' AS rule, 'warning' AS severity, "column",
 concat_ws(', ', CASE WHEN "numeric" > 0 THEN 'numeric' END, CASE WHEN "datetime" > 0 THEN 'datetime' END,
 CASE WHEN "string" > 0 THEN 'string' END) AS types_found FROM ({_mix_sql()})

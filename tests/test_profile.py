@@ -1,9 +1,11 @@
 """Semantic classes and the profile."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.functions.nulls import normalize_nulls
 from lumenframe.operators import describe, profile
+from lumenframe.operators.profile import parse_datetime, with_date_layouts
 
 
 def test_classes(spark):
@@ -19,7 +21,7 @@ def test_classes(spark):
         "paid_amount": "identifier", "uid": "identifier", "note": "text", "level": "categorical",
         "when": "datetime", "flag": "boolean", "arr": "nested",
     }
-    assert "paid_amount" in found.numeric and found.get("when").layout == "yyyy-MM-dd"
+    assert "paid_amount" in found.numeric and found.get("when").layout == "yyyy-M-d"
     assert dict(found.with_datetimes(df).dtypes)["when"] == "timestamp"
     forced = profile.infer_profile(df, {"paid_amount": "numeric"})
     assert "paid_amount" not in forced.identifier
@@ -58,3 +60,20 @@ def test_text_profile_mentions_missing(spark):
     df = spark.createDataFrame([("a",), (None,), ("b",), ("a",)], "level string")
     line = describe.text_profile(df, profile.infer_profile(df)).head()["line"]
     assert line == "level (string, categorical, 2 unique, top: [a, b], 25.0% missing)"
+
+
+@pytest.mark.parametrize(("text", "moment"), [
+    ("2024-01-05T10:00:00Z", "2024-01-05 10:00:00"), ("2024-01-05T10:00:00+02:00", "2024-01-05 08:00:00"),
+    ("2024-01-05T10:00:00+0200", "2024-01-05 08:00:00"), ("2024-01-05 10:00:00.123", "2024-01-05 10:00:00.123000"),
+    ("2024-01-05 10:30", "2024-01-05 10:30:00"), ("1/5/2024", "2024-01-05 00:00:00"), ("Jan 5, 2024", "2024-01-05 00:00:00"),
+    ("January 5, 2024", "2024-01-05 00:00:00"), ("5 Jan 2024 7:05", "2024-01-05 07:05:00"), ("05-Jan-2024", "2024-01-05 00:00:00"),
+    (" 2024/1/5 ", "2024-01-05 00:00:00"), ("15.1.2024", "2024-01-15 00:00:00"), ("2024-02-30", None), ("Janx 5, 2024", None),
+    ("5", None), ("2024", None), ("12-34-5678 and more", None), ("may 5 come", None),
+])
+def test_date_texts(spark, text, moment):
+    rows = with_date_layouts(spark.createDataFrame([(text,)], "t string"), "t")
+    layouts = rows.head()["layouts"] or []
+    assert bool(layouts) == (moment is not None)
+    if moment:
+        got = rows.select(parse_datetime(F.col("t"), layouts[0]).cast("string").alias("m")).head()["m"]
+        assert got == moment.replace(".123000", ".123")
