@@ -130,8 +130,13 @@ def chart_data(
     color: str | None = None,
     aggregation: str = "none",
     key: Sequence[str] | None = None,
+    points: int | None = None,
+    bucket: str | None = None,
 ) -> DataFrame | None:
-    """Data of one chart; None for an unknown kind, a missing column or a kind that lacks its y."""
+    """Data of one chart; None for an unknown kind, a missing column or a kind that lacks its y.
+
+    ``points`` draws that many rows of a scatter chart, ``bucket`` groups the x of a line; both are off unless asked for.
+    """
     if kind not in KINDS or x not in df.columns or (y and y not in df.columns):
         return None
     if aggregation in AGGREGATIONS and y:
@@ -141,9 +146,9 @@ def chart_data(
     if kind == "histogram":
         return histogram(df, x, color)
     if kind == "scatter":
-        return scatter(df, x, y, key or (), color)
+        return scatter(df, x, y, key or (), color, points)
     if kind == "line":
-        return line(df, x, y, color)
+        return line(df, x, y, color, bucket).orderBy(_c(x))
     if kind == "bar":
         return bar(df, x, y, color)
     if kind == "box":

@@ -91,11 +91,12 @@ def messages_for_model(messages: DataFrame, new_messages: DataFrame, max_turns:
 
 
 def append_messages(messages: DataFrame, new_rows: DataFrame) -> DataFrame:
-    """A message table with rows added; turns continue after the last one of each conversation."""
+    """A message table with rows added; turns continue after the last one of each conversation, in sorted buckets, so that
+    one conversation may have any number of new rows."""
     last = messages.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
-    order = W.partitionBy("conv_id").orderBy("turn")
-    placed = new_rows.withColumn("__rn", F.row_number().over(order)).join(last, "conv_id", "left").select(
-        "conv_id", (F.coalesce("last_turn", F.lit(-1)) + F.col("__rn")).cast("bigint").alias("turn"), "role", "text"
+    ordered = OrderedRows(new_rows, ["turn"], ["conv_id"]).with_position("__pos").rows()
+    placed = ordered.join(last, "conv_id", "left").select(
+        "conv_id", (F.coalesce("last_turn", F.lit(-1)) + 1 + F.col("__pos")).cast("bigint").alias("turn"), "role", "text"
     )
     return messages.select("conv_id", "turn", "role", "text").unionByName(placed)
 

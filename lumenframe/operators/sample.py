@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .profile import TableProfile
+
 SEED = 42
 # Rows of the default sample, most rows of a preview request.
 SAMPLE_ROWS = 50
@@ -24,7 +26,8 @@ def head(df: DataFrame, n: int, key: Sequence[str]) -> DataFrame:
 
 
 def tail(df: DataFrame, n: int, key: Sequence[str]) -> DataFrame:
-    return df.orderBy(*[F.desc(k) for k in key]).limit(n)
+    """The last n rows in key order, in ascending order again."""
+    return df.orderBy(*[F.desc(k) for k in key]).limit(n).orderBy(*key)
 
 
 def random_sample(df: DataFrame, n: int, key: Sequence[str], seed: int = SEED) -> DataFrame:
@@ -48,16 +51,16 @@ def stratified_quotas(df: DataFrame, column: str, n: int) -> DataFrame:
 def stratified_sample(df: DataFrame, column: str, n: int, key: Sequence[str], seed: int = SEED) -> DataFrame:
     """Proportional sample per value of a categorical column, commonest strata first, n rows at most.
 
-    Only the n commonest strata can reach the result, so the quota table joined to the rows is bounded
-    by n, and no stratum keeps more than n rows: the window runs behind a per-partition group limit.
+    Only the n commonest strata can reach the result, so the quota table is bounded by n; joined first, it keeps the
+    rows of all other strata out of the shuffle. No stratum keeps more than n rows: the window runs behind a
+    per-partition group limit.
     """
     quotas = stratified_quotas(df, column, n).orderBy(F.desc("stratum_rows"), column).limit(n)
     draw = F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
     order = W.partitionBy(column).orderBy("__draw", *key)
-    ranked = (
-        df.withColumn("__draw", draw).withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= n)
-    )
-    kept = ranked.join(F.broadcast(quotas), column).where(F.col("__rn") <= F.col("quota"))
+    wanted = df.join(F.broadcast(quotas), column).withColumn("__draw", draw)
+    ranked = wanted.withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= n)
+    kept = ranked.where(F.col("__rn") <= F.col("quota"))
     return (
         kept.orderBy(F.desc("stratum_rows"), column, "__rn").limit(n)
         .select(*[F.col(f"`{c}`") for c in df.columns])
@@ -71,12 +74,18 @@ def sample_table(
     strategy: str = "stratified",
     stratify_by: str | None = None,
     n_rows: int | None = None,
+    profile: TableProfile | None = None,
 ) -> DataFrame:
-    """Dispatch on strategy; a table known to be no larger than the sample is returned whole."""
+    """Dispatch on strategy; a table known to be no larger than the sample is returned whole.
+
+    Unless told by which column to stratify, the profile's first categorical column is taken; without one the
+    sample is random.
+    """
     if n_rows is not None and n_rows <= n:
         return df
-    if strategy == "stratified" and stratify_by:
-        return stratified_sample(df, stratify_by, n, key)
+    by = stratify_by or next(iter(profile.categorical if profile else ()), None)
+    if strategy == "stratified" and by:
+        return stratified_sample(df, by, n, key)
     if strategy == "head_tail":
         return head_tail(df, n, key)
     return random_sample(df, n, key)

@@ -505,20 +505,21 @@ def top_findings(spark, sf_dir):
 
 
 @query("stream_rule_counts", """SELECT date_trunc('hour', ts) AS "start", date_trunc('hour', ts) + INTERVAL 1 HOUR AS "end",
-'future_date' AS rule, 'ts' AS "column", count(*) AS n_rows FROM events WHERE ts > TIMESTAMP '2024-01-20' GROUP BY ALL""")
+'future_date' AS rule, 'ts' AS "column", count(*) AS n_rows FROM events WHERE ts > TIMESTAMP '2024-01-20'
+AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL""")
 def stream_rule_counts(spark, sf_dir):
-    """The event table read as a stream; the finished windows are handed over as a table."""
+    """The event table read as a stream; windows that the watermark has closed are appended to files."""
     schema_of = table(spark, sf_dir, "events").schema
-    name = f"rule_counts_{uuid4().hex}"
+    name, folder = f"rule_counts_{uuid4().hex}", ensure_checkpoint_dir(spark)
     stream = file_stream(spark, f"{sf_dir}/events.parquet*", schema_of)
     rules = temporal.future_rules(["ts"], _AS_OF)
     counted = rule_counts(stream_violations(stream, rules, ["event_id"], "ts"), "ts")
     running = (
-        counted.writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", f"{ensure_checkpoint_dir(spark)}/{name}").trigger(availableNow=True).start()
+        counted.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/{name}")
+        .option("checkpointLocation", f"{folder}/{name}-state").trigger(availableNow=True).start()
     )
     running.awaitTermination()
-    return spark.table(name).select(
+    return spark.read.schema(counted.schema).parquet(f"{folder}/{name}").select(
         F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"),
         "rule", "column", "n_rows",
     )
