@@ -25,12 +25,13 @@ MAX_PIVOTS = 256
 SLACK = 1e-9  # for rounding in distances; what it lets in is compared like anything else
 
 
-def choose_pivots(vectors: DataFrame, rows: int) -> np.ndarray:
-    """At most MAX_PIVOTS vectors of the commonest width, those with the smallest hashes; one per CELL_ROWS rows."""
-    wanted = min(MAX_PIVOTS, -(-rows // CELL_ROWS))
+def choose_pivots(vectors: DataFrame) -> np.ndarray:
+    """At most MAX_PIVOTS vectors, those with the smallest hashes; one per CELL_ROWS rows of the largest label."""
+    largest = vectors.groupBy("label", "width").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").first()
+    wanted = min(MAX_PIVOTS, -(-largest["n"] // CELL_ROWS)) if largest else 0
     if wanted < 2:
         return np.zeros((0, 0))
-    width = vectors.groupBy("width").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").first()["width"]
+    width = largest["width"]
     taken = vectors.where(F.col("width") == width).orderBy(F.xxhash64("unit"), "vec").limit(wanted).collect()
     return np.array([r.unit for r in taken])
 
@@ -128,7 +129,7 @@ def range_join(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
                 "vectors")
     distinct = keep(base.where("sound").groupBy("label", "unit").agg(
         F.min("vec_id").alias("vec"), F.count("*").alias("copies")).withColumn("width", F.size("unit")), "distinct")
-    pivots = choose_pivots(distinct, distinct.count())
+    pivots = choose_pivots(distinct)
     eps = float(np.sqrt(2 - 2 * threshold))
     if len(pivots):
         placed = keep(distinct.mapInArrow(
