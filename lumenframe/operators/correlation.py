@@ -100,9 +100,10 @@ def kendall_tau(df: DataFrame, x: str, y: str) -> DataFrame:
     points whose ranks agree above a bit, those with the bit clear are passed by the earlier ones with the bit
     set. That is n log n rows through bucketed running sums; no pair of rows is ever formed.
     """
-    points = df.select(
+    ensure_checkpoint_dir(df.sparkSession)
+    points = df.select(  # kept once: levels, ties and inversions all start from the distinct points
         F.col(f"`{x}`").cast("double").alias("x"), F.col(f"`{y}`").cast("double").alias("y")
-    ).where("x is not null and y is not null").groupBy("x", "y").agg(F.count("*").alias("c"))
+    ).where("x is not null and y is not null").groupBy("x", "y").agg(F.count("*").alias("c")).checkpoint()
     levels_of = OrderedRows(points.select("y").distinct(), ["y"]).with_position("yrank").rows()
     top = levels_of.agg(F.max("yrank")).head()[0]
     ranked = points.join(levels_of, "y").select("x", "yrank", "c")

@@ -27,7 +27,9 @@ def missing_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 def imputation_plan(df: DataFrame, profile: TableProfile, columns: Sequence[str] | None = None) -> DataFrame:
     """Suggested fill per column: median of numbers, mode of categories, review of the rest."""
     chosen = list(columns) if columns else [c.column for c in profile.columns if c.missing_count]
-    report = missing_report(df, chosen) if chosen else missing_report(df).where(F.lit(False))
+    # The profile has counted the holes already.
+    report = profile.to_df(df.sparkSession).where(F.col("column").isin(chosen)).select(
+        "column", "missing_count", "missing_pct", (F.col("row_count") - F.col("missing_count")).alias("present_count"))
     numbers = [c for c in chosen if c in profile.numeric]
     texts = [c for c in chosen if c in profile.categorical]
     way = (

@@ -1,6 +1,6 @@
 """From row rules to violations, and from violations to findings.
 
-All row rules of a table are evaluated in one scan. A finding lists at most twenty row keys, taken by a
+All row rules of a table are evaluated in one scan, whose broken rows (key and value) are kept once. A finding lists at most twenty row keys, taken by a
 ranked limit that Spark applies inside each partition before the shuffle, so a rule broken by most of the
 table costs no more than a count.
 """
@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from ..session import ensure_checkpoint_dir
+
 # Row keys and example values shown in a finding.
 SHOWN_KEYS = 20
 SHOWN_VALUES = 5
@@ -83,7 +85,8 @@ def row_findings(
     spark = df.sparkSession
     if not rules:
         return empty_findings(spark)
-    broken = _broken(df, rules, key)
+    ensure_checkpoint_dir(spark)
+    broken = _broken(df, rules, key).checkpoint()  # keys and values only; counted and ranked from one scan of the table
     counts = broken.groupBy("rule_no").agg(F.count("*").alias("n_rows"))
     order = W.partitionBy("rule_no").orderBy("__key")
     shown = (

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators.describe import choose_columns
 from ..operators.quantiles import exact_quantiles, long_values, named
+from ..session import ensure_checkpoint_dir
 from .findings import RowRule
 
 # Thresholds, the smallest column that is checked, the share above which fence
@@ -168,7 +169,8 @@ def detect_outliers(
 ) -> DataFrame:
     """Outlier report per column and method: bounds, count, first ten values, first twenty row keys."""
     bounds = outlier_bounds(df, columns, method, threshold)
-    found = outlier_rows(df, bounds, key)
+    ensure_checkpoint_dir(df.sparkSession)
+    found = outlier_rows(df, bounds, key).checkpoint()  # counted and ranked from one scan
     counts = found.groupBy("column", "method").agg(F.count("*").alias("outlier_count"))
     order = W.partitionBy("column", "method").orderBy(*key)
     first = found.withColumn("rn", F.row_number().over(order)).where("rn <= 20")
