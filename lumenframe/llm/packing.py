@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import keep, text_slices
-from .tokens import Encoder
+from .tokens import WordTable, word_table
 
 CAPACITY = 2048
 END_ID = 1
@@ -29,12 +29,12 @@ GRAINS = (32, 8)  # token lengths of the grains cut for each window
 _PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def _cut_rows(tokenizer: str, capacity: int, end: int):
+def _cut_rows(table: WordTable, capacity: int, end: int):
     """Pieces of each document: full windows, the grains it gives, and its rest."""
     closing = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = table.reader()
         given = 0.0
         for batch in batches:
             for rows, texts in text_slices(batch):
@@ -72,7 +72,7 @@ def _cut_rows(tokenizer: str, capacity: int, end: int):
 
 def differencing(lengths: np.ndarray, windows: int) -> np.ndarray:
     """Window of each piece when pieces are split into ``windows`` near-equal sums by largest differencing."""
-    # A partition is its windows' sums, largest first, and the merge-tree node in each window (-1: empty).
+    # A partition is its windows' sums, largest first, and the merge-tree node in each; empty windows are not listed.
     heap: list = []
     parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for i, n in enumerate(lengths.tolist()):
@@ -95,11 +95,7 @@ def differencing(lengths: np.ndarray, windows: int) -> np.ndarray:
             nodes += both
         order = np.argsort(-sums, kind="stable")
         sums, tree = sums[order], tree[order]
-        if len(sums) == windows:
-            lowest = int(sums[-1])
-            spread = int(sums[0]) - lowest
-        else:
-            spread = int(sums[0])
+        spread = int(sums[0]) - (int(sums[-1]) if len(sums) == windows else 0)
         parts[name] = sums, tree
         heapq.heappush(heap, (-spread, name))
         name += 1
@@ -169,7 +165,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     pieces = keep(docs.select("doc_id", "text").mapInArrow(
-        _cut_rows(tokenizer, capacity, end_id), f"doc_id {kind}, {_PIECE}"), "pieces")
+        _cut_rows(word_table(docs, tokenizer), capacity, end_id), f"doc_id {kind}, {_PIECE}"), "pieces")
     rests = pieces.where(F.col("length") < capacity)
     tasks = max(1, rests.count() // (8 * GROUP))
     packed = rests.repartition(tasks).mapInArrow(

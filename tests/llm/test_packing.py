@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from lumenframe.llm import packing
-from lumenframe.llm.tokens import Encoder, default_tokenizer
+from lumenframe.llm.tokens import default_tokenizer, word_table
 
 PATH = default_tokenizer()
 WHOLE = Tokenizer.from_file(PATH)
@@ -17,19 +17,16 @@ def ids_of(text):
     return WHOLE.encode(text or "", add_special_tokens=False).ids + [packing.END_ID]
 
 
-@given(st.text(alphabet="aB'sé \n\x0b\x1c ́!<|>\t3日", max_size=40))
-@settings(max_examples=150, deadline=None)
-def test_word_encoder_equals_whole_text(text):
-    got = np.frombuffer(next(iter(Encoder_.encode([text.encode()]))), "<u4").tolist()
-    assert got == WHOLE.encode(text, add_special_tokens=False).ids
-
-
-Encoder_ = Encoder(PATH)
-
-
-def test_added_tokens_in_texts():
-    text = "a <|endoftext|> b<|startoftext|>"
-    assert np.frombuffer(next(iter(Encoder_.encode([text.encode()]))), "<u4").tolist() == ids_of(text)[:-1]
+def test_table_encoder_equals_whole_texts(spark):
+    rng = np.random.default_rng(6)
+    alphabet = list("aB'sé \n\x0b\x1c\u0301\u00a0!<|>\t3日 ")
+    texts = ["".join(rng.choice(alphabet, n)) for n in rng.integers(0, 60, 400)]
+    texts += ["a <|endoftext|> b<|startoftext|>", "x" * 5000, "don't they'll 12 café cafe\u0301", ""]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(50).collect()]
+    table = word_table(spark.createDataFrame([(t,) for t in texts], "text string"), PATH)
+    coded = table.reader().encode([t.encode() for t in texts])
+    for text, ids in zip(texts, coded, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
 
 
 @given(st.lists(st.integers(1, 64), min_size=1, max_size=80))
