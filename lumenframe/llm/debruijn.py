@@ -200,12 +200,14 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = ANCHOR_WORDS) ->
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     paths = keep(keyed.select("key", "text").mapInArrow(
         _path_rows(window, k), "key long, anchor long, path long, n long"), "paths")
-    often = paths.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor")
+    # Counts are tables of their own before they are joined back: the joins then split a hot anchor's rows.
+    often = keep(paths.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor"), "often")
     shared = keep(paths.join(often, "anchor"), "shared-paths")
     distinct = keep(shared.groupBy("anchor", "path").agg(
         F.sum("n").alias("total"), F.min("key").alias("owner")), "distinct-paths")
-    branching = distinct.groupBy("anchor").agg(F.count("*").alias("ways"))
-    flagged = shared.join(distinct.join(branching, "anchor"), ["anchor", "path"]).select(
+    branching = keep(distinct.groupBy("anchor").agg(F.count("*").alias("ways")), "branching")
+    known = keep(distinct.join(branching, "anchor"), "known-paths")
+    flagged = shared.join(known, ["anchor", "path"]).select(
         "key", "anchor", "path",
         (F.when(F.col("total") > 1, REPEATED).otherwise(0)
          + F.when((F.col("ways") > 1) & ((F.col("total") == 1) | (F.col("owner") == F.col("key"))), COMPARED)
