@@ -2,57 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import partial
 from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import charts, correlation, describe, trend
+from ..operators.lazy import LazyTables
 from ..operators.profile import TableProfile, infer_profile
 
 # Histograms and bar charts drawn.
 HISTOGRAMS, BAR_CHARTS = 5, 3
 
 
-def auto_eda(df: DataFrame, key: Sequence[str], profile: TableProfile | None = None) -> dict[str, DataFrame]:
+def auto_eda(df: DataFrame, key: Sequence[str], profile: TableProfile | None = None) -> LazyTables:
     """Statistics, correlations, distributions, first trend, category counts and a summary, by name.
 
-    Each value is its own plan, run when used; persist ``df`` around several of them if it is costly to read.
+    The profile decides which there are. Each is planned when it is asked for; persist ``df`` around several of them
+    if it is costly to read.
     """
     known = profile or infer_profile(df)
-    dated = known.with_datetimes(df)
     numeric, dates, categories = known.numeric, known.datetime, known.categorical
-    results: dict[str, DataFrame] = {}
+    makers: dict[str, Callable[[], DataFrame]] = {}
     if numeric:
-        results["statistics"] = describe.numeric_summary(df, numeric)
+        makers["statistics"] = lambda: describe.numeric_summary(df, numeric)
     if len(numeric) >= correlation.MIN_COLUMNS:
-        upper = correlation.correlations(df, numeric)
-        results["correlations"] = correlation.significant_pairs(upper)
-        results["heatmap"] = correlation.correlation_matrix(
-            correlation.pair_correlations(df, list(combinations(numeric, 2)))
-        )
+        makers["correlations"] = lambda: correlation.significant_pairs(correlation.correlations(df, numeric))
+        makers["heatmap"] = lambda: correlation.correlation_matrix(
+            correlation.pair_correlations(df, list(combinations(numeric, 2))))
     for c in numeric[:HISTOGRAMS]:
-        results[f"histogram:{c}"] = charts.histogram(df, c)
+        makers[f"histogram:{c}"] = partial(charts.histogram, df, c)
     if dates and numeric:
+        dated = known.with_datetimes(df)
         analyses = trend.detect_trend(dated, dates[0], numeric[0], key)
-        results.update({f"trend:{name}": table for name, table in analyses.items()})
-        results["line"] = charts.line(dated, dates[0], numeric[0], bucket="day")
+        makers.update({f"trend:{name}": partial(analyses.__getitem__, name) for name in analyses})
+        makers["line"] = lambda: charts.line(dated, dates[0], numeric[0], bucket="day")
     for c in categories[:BAR_CHARTS]:
-        results[f"bar:{c}"] = charts.bar(df, c)
-    results["summary"] = eda_summary(results, df, len(numeric))
-    return results
+        makers[f"bar:{c}"] = partial(charts.bar, df, c)
+    results = LazyTables(makers)
+    return LazyTables({**makers, "summary": lambda: eda_summary(results, df, len(numeric))})
 
 
-def eda_summary(results: dict[str, DataFrame], df: DataFrame, n_columns: int) -> DataFrame:
+def eda_summary(results: Mapping[str, DataFrame], df: DataFrame, n_columns: int) -> DataFrame:
     """One row: columns analysed, strongest correlation, direction and fit of the trend."""
     base = df.sparkSession.range(1).select(F.lit(f"- Analyzed {n_columns} columns").alias("stats"))
     lines = [F.lit("Automated EDA Summary:"), F.col("stats")]
     if "correlations" in results:
-        size = F.abs("correlation")
-        top = results["correlations"].agg(F.max_by(
-            F.format_string("- Strongest correlation: %s ↔ %s (%.2f, %s)", "column_1", "column_2", "correlation", "strength"),
-            size,
-        )).scalar()
+        # Fixed format of the line; ties go to the first names.
+        told = F.format_string("- Strongest correlation: %s ↔ %s (%.2f, %s)", "column_1", "column_2", "correlation", "strength")
+        top = results["correlations"].agg(F.min(F.struct(
+            (-F.abs("correlation")).alias("order"), "column_1", "column_2", told.alias("told")))["told"]).scalar()
         lines.append(top)
     if "trend:linear_trend" in results:
         told = results["trend:linear_trend"].agg(F.max(
@@ -62,7 +62,7 @@ def eda_summary(results: dict[str, DataFrame], df: DataFrame, n_columns: int) ->
     return base.select(F.concat_ws("\n", *lines).alias("summary"))
 
 
-def explain_eda(results: dict[str, DataFrame]) -> DataFrame:
+def explain_eda(results: Mapping[str, DataFrame]) -> DataFrame:
     """The summary as a short text with the number of charts behind it."""
     n_charts = sum(1 for name in results if name.split(":")[0] in ("histogram", "bar", "line", "heatmap"))
     note = F.lit(f"\n*Generated {n_charts} visualization(s) to illustrate the findings.*") if n_charts else F.lit(None)

@@ -32,6 +32,27 @@ def random_rows(spark, sf_dir):
     return sample.data_sample(table(spark, sf_dir, "customer"), ["c_custkey"], 50, strategy="random")
 
 
+def _invariants(drawn, source, key):
+    """What any correct draw shows, whichever rows it holds: size, distinct keys, and rows that are really the table's."""
+    members = drawn.join(source, source.columns, "left_semi").agg(F.count("*")).scalar()
+    return drawn.agg(F.count("*").alias("n"), F.count_distinct(key).alias("n_keys")).withColumn("n_members", members)
+
+
+@query("random_rows_invariants", """SELECT least(50, count(*)) AS n, least(50, count(*)) AS n_keys,
+least(50, count(*)) AS n_members FROM customer""")
+def random_rows_invariants(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer")
+    return _invariants(sample.data_sample(customers, ["c_custkey"], 50, strategy="random"), customers, "c_custkey")
+
+
+@query("stratified_sample_invariants", """SELECT sum(q)::BIGINT AS n, sum(q)::BIGINT AS n_keys, sum(q)::BIGINT AS n_members
+FROM (SELECT greatest(1, floor(n / t * 50)) AS q FROM (SELECT event_type, count(*)::DOUBLE AS n, sum(count(*)) OVER () AS t
+FROM events GROUP BY 1))""")
+def stratified_sample_invariants(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return _invariants(sample.stratified_sample(events, "event_type", 50, ["event_id"]), events, "event_id")
+
+
 @query("stratified_quotas", """SELECT event_type, n AS stratum_rows, greatest(1, floor(n / t * 50))::BIGINT AS quota FROM (
 SELECT event_type, count(*)::DOUBLE AS n, sum(count(*)) OVER () AS t FROM events GROUP BY 1)""")
 def stratified_quotas(spark, sf_dir):
