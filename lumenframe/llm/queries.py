@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import debruijn, decontaminate, html_extract, metric_join, ngram_lm, packing, quality, secret_scan, simhash, token_scan
 from .shared import read_table
-from .tokens import default_tokenizer
+from .tokens import default_byte_encoder, default_tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-END_OF_TEXT = 65_535  # an id that the vocabulary leaves free
+END_OF_TEXT = 50_256  # the id that the byte-level vocabulary leaves free
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -63,8 +63,8 @@ def op8_site_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_scan.token_counts(read_table(spark, sf_dir, "documents", "doc_id", "text"), default_tokenizer(),
-                                   end_id=END_OF_TEXT)
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return token_scan.token_counts(docs, default_byte_encoder(), END_OF_TEXT)
 
 
 @query
@@ -84,3 +84,26 @@ def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = ngram_lm.train(docs.where("not held_out"))
     return model.score(docs, ("held_out",)).withColumn("train_tokens", F.lit(model.vocabulary.tokens).cast("long")).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+# Every pair of equal label, in double precision; components by walking links from each vector.
+ORACLES["op5_metric_join"] = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND list_aggregate([abs(x) for x in embedding], 'max') > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+walk AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT walk.a, l.b FROM walk JOIN l ON walk.b = l.a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, c AS component_id, e.vec_id = c AS kept FROM embeddings e
+JOIN (SELECT a, min(b) AS c FROM walk GROUP BY a) ON a = e.vec_id
+LEFT JOIN (SELECT a AS k, count(*) AS n FROM l GROUP BY a) ON k = e.vec_id"""
+
+ORACLES["op10_debruijn"] = """WITH d AS (SELECT doc_id,
+  [x for x in regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+') if x <> ''] AS ws FROM documents),
+w AS (SELECT doc_id, i, hash(array_to_string(ws[i:i + 34], ' ')) AS h FROM (
+  SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)),
+again AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM again),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS text FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)"""

@@ -11,36 +11,36 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .shared import keep, mounted, shared_path, text_slices
-from .tokens import word_table
 
 BLOCK_TOKENS = 1 << 20
 DTYPE = "<u2"
 
 
-def write_flat(docs: DataFrame, tokenizer: str, end_id: int, folder: str, dtype: str = DTYPE) -> DataFrame:
+def write_flat(docs: DataFrame, encoder: Callable, end_id: int, folder: str, dtype: str = DTYPE) -> DataFrame:
     """Write every document's ids and ``end_id`` into flat files, one per task, and give (file, doc_id, ordinal).
 
+    ``encoder()`` gives, in a task, the object whose ``encode`` turns texts into their ids' bytes.
     ``folder`` is in the shared folder, mounted on all workers. A repeated task writes a file under a new name; only
     the names that this table holds count. Null texts are empty. Ids must fit ``dtype``, and no text may hold the
     end id itself.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    place, table = mounted(folder), word_table(docs, tokenizer)
+    place = mounted(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, name, ordinal = table.reader(), f"{uuid.uuid4().hex}.tokens", 0
+        coder, name, ordinal = encoder(), f"{uuid.uuid4().hex}.tokens", 0
         os.makedirs(place, exist_ok=True)
         with open(f"{place}/{name}.part", "wb") as out:
             for batch in batches:
                 for rows, texts in text_slices(batch):
-                    for coded in encoder.encode(texts):
+                    for coded in coder.encode(texts):
                         ids = np.frombuffer(coded, "<u4")
                         if len(ids) and (int(ids.max()) > np.iinfo(dtype).max or (ids == end_id).any()):
                             raise ValueError("an id does not fit the file, or is the end id")
@@ -117,13 +117,13 @@ def scan_flat(spark: SparkSession, folder: str, files: DataFrame, end_id: int, d
     return documents.unionByName(tail)
 
 
-def token_counts(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def token_counts(docs: DataFrame, encoder: Callable, end_id: int) -> DataFrame:
     """(doc_id, n_tokens) of every document, its end id included, through flat files and the separator scan.
 
     Repeated rows are documents of their own, as are rows without doc_id; other columns are ignored.
     """
     spark = docs.sparkSession
     folder = shared_path(spark, "token-files")
-    written = keep(write_flat(docs, tokenizer, end_id, folder), "token-files")
+    written = keep(write_flat(docs, encoder, end_id, folder), "token-files")
     counted = scan_flat(spark, folder, written, end_id)
     return written.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens")

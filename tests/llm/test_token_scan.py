@@ -1,10 +1,8 @@
 import numpy as np
 import pytest
-from tokenizers import Tokenizer
-
 from lumenframe.llm import token_scan
 from lumenframe.llm.shared import mounted, shared_path
-from lumenframe.llm.tokens import default_tokenizer
+from lumenframe.llm.tokens import default_byte_encoder, default_tokenizer, word_table
 
 END = 9
 
@@ -38,15 +36,22 @@ def test_scan_matches_brute_force(spark, block):
 
 
 def test_counts_of_documents(spark):
-    whole = Tokenizer.from_file(default_tokenizer())
-    texts = [None, "", "a b c", "a b c", "word " * 40_000, "ünï 'd", "<|endoftext|>"]
+    plain = default_byte_encoder()().encoding
+    texts = [None, "", "a b c", "a b c", "word " * 40_000, "ünï 'd", "<|endoftext|>", "x" * 30_000]
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(None, "x y", 1), (2, "a b c", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ordinal int").repartition(3)
-    got = token_scan.token_counts(docs, default_tokenizer(), 65_535).collect()
-    want = [(i, len(whole.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, _ in rows]
+    got = token_scan.token_counts(docs, default_byte_encoder(), 50_256).collect()
+    want = [(i, len(plain.encode_ordinary(t or "")) + 1) for i, t, _ in rows]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_counts_with_a_word_table(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    table = word_table(docs, default_tokenizer())
+    got = dict(map(tuple, token_scan.token_counts(docs, table.reader, 65_535).collect()))
+    assert got == {1: 3, 2: 1}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert token_scan.token_counts(docs, default_tokenizer(), 65_535).collect() == []
+    assert token_scan.token_counts(docs, default_byte_encoder(), 50_256).collect() == []
