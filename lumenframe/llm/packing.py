@@ -109,8 +109,11 @@ def differencing(lengths: np.ndarray, windows: int) -> np.ndarray:
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """Window of each piece (all at most ``capacity``): differencing, with more windows until all fit."""
-    windows = max(1, -(-int(lengths.sum()) // capacity))
+    """Window of each piece (all at most ``capacity``): differencing, with more windows until all fit.
+
+    The first count leaves each window the few tokens by which sums come to differ, without which it always fails.
+    """
+    windows = max(1, -(-int(lengths.sum()) // (capacity - capacity // 256)))
     step = 1
     while True:
         window = differencing(lengths, windows)
