@@ -25,7 +25,7 @@ from .tokens import WordTable, word_table
 CAPACITY = 2048
 END_ID = 1
 GROUP = 1024  # rests packed together
-GRAINS = (32, 8)  # token lengths of the grains cut for each window
+GRAINS = (64, 16)  # token lengths of the grains cut for each window
 _PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
