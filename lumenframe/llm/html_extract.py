@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,7 @@ def page_blocks(page: str) -> tuple[list[str], list[int], list[int], list[int],
     """
     elements: list[_Element] = []
     stack: list[_Element] = []
+    opened: Counter[str] = Counter()
     texts: list[str] = []
     holders: list[int] = []
     within: list[bool] = []
@@ -81,6 +83,7 @@ def page_blocks(page: str) -> tuple[list[str], list[int], list[int], list[int],
     def close() -> None:
         nonlocal depth_main
         top = stack.pop()
+        opened[top.name] -= 1
         depth_main -= top.name == main
         if stack:
             stack[-1].digest.update(top.digest.digest())
@@ -102,7 +105,7 @@ def page_blocks(page: str) -> tuple[list[str], list[int], list[int], list[int],
         if found[1]:
             if name in BLOCKS:
                 flush()
-            if any(e.name == name for e in stack):
+            if opened[name]:
                 while stack[-1].name != name:
                     close()
                 close()
@@ -126,13 +129,13 @@ def page_blocks(page: str) -> tuple[list[str], list[int], list[int], list[int],
             continue  # inline: its text belongs to the block around it
         if name in BLOCKS:
             flush()
-        if name in CLOSES_P and any(e.name == "p" for e in stack):
+        if name in CLOSES_P and opened["p"]:
             while stack[-1].name != "p":
                 close()
             close()
         for peer, limits in (("li", ("ul", "ol", "menu")), ("dd", ("dl",)), ("dt", ("dl",)), ("td", ("tr", "table")),
                              ("th", ("tr", "table")), ("tr", ("table", "tbody", "thead"))):
-            if name == peer or {name, peer} == {"dd", "dt"} or {name, peer} == {"td", "th"}:
+            if opened[peer] and (name == peer or {name, peer} == {"dd", "dt"} or {name, peer} == {"td", "th"}):
                 open_ = next((e for e in reversed(stack) if e.name == peer or e.name in limits), None)
                 if open_ is not None and open_.name == peer:
                     while stack[-1] is not open_:
@@ -145,6 +148,7 @@ def page_blocks(page: str) -> tuple[list[str], list[int], list[int], list[int],
         element = _Element(name, names, out, parent.index if parent else -1, len(elements))
         elements.append(element)
         stack.append(element)
+        opened[name] += 1
         depth_main += name == main
     flush()
     while stack:
@@ -164,12 +168,22 @@ def _subtree_names(hashes: list[int], host: str, main: bool) -> np.ndarray:
 _FULL = (1 << 64) - 1
 
 
-def _chains(holders: list[int], parents: list[int]) -> list[list[int]]:
-    """Elements that hold each block, from the outermost inwards."""
-    chains: dict[int, list[int]] = {-1: []}
-    for i, parent in enumerate(parents):
-        chains[i] = [*chains[parent], i]
-    return [chains[h] for h in holders]
+def _holding(holders: list[int], parents: list[int]) -> list[int]:
+    """Elements that hold any block, directly or further in."""
+    found: set[int] = set()
+    for element in holders:
+        while element >= 0 and element not in found:
+            found.add(element)
+            element = parents[element]
+    return sorted(found)
+
+
+def _inherited(flags: np.ndarray, parents: list[int]) -> list[bool]:
+    """Whether an element or one that holds it is flagged; parents come before their children."""
+    out: list[bool] = []
+    for flag, parent in zip(flags.tolist(), parents, strict=True):
+        out.append(flag or parent >= 0 and out[parent])
+    return out
 
 
 def _subtree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +192,7 @@ def _subtree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         sites, contents, subtrees, mains = [], [], [], []
         for page, host in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True):
             texts, holders, parents, hashes, main = page_blocks(page or "")
-            used = sorted({e for chain in _chains(holders, parents) for e in chain})
+            used = _holding(holders, parents)
             sites.append(_signed(xxhash.xxh64_intdigest(f"{host} {main}")))
             contents.append(_signed(xxhash.xxh64_intdigest("\n".join(texts))))
             subtrees.append(np.unique(_subtree_names([hashes[e] for e in used], host, main)))
@@ -200,9 +214,10 @@ def _text_rows(template: HashSet):
             out = []
             for page, host in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True):
                 texts, holders, parents, hashes, main = page_blocks(page or "")
-                gone = template.contains(reader, _subtree_names(hashes, host, main)) if host and hashes else ()
-                left = [t for t, chain in zip(texts, _chains(holders, parents), strict=True)
-                        if not any(gone[e] for e in chain)] if any(gone) else texts
+                left = texts
+                if host and hashes:
+                    gone = _inherited(template.contains(reader, _subtree_names(hashes, host, main)), parents)
+                    left = [t for t, h in zip(texts, holders, strict=True) if h < 0 or not gone[h]]
                 out.append("\n".join(left or texts))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])

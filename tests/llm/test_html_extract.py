@@ -27,6 +27,14 @@ def test_blocks(page, want):
     assert text_of(page or "") == want
 
 
+@pytest.mark.parametrize("page", ["<div>" * 60_000 + "deep", "<" * 200_000, "<p " * 50_000, "<li>x" * 30_000,
+                                  "word " * 200_000, "<!--" * 50_000, '<a href="' * 20_000])
+def test_odd_long_pages_end(page):
+    texts, holders, parents, hashes, _ = html_extract.page_blocks(page)
+    assert len(texts) == len(holders) and len(parents) == len(hashes)
+    assert len(html_extract._holding(holders, parents)) <= len(parents)
+
+
 def test_site_templates_go(spark):
     page = lambda i, extra="": f"<body><div><p>About this site</p></div><p>Story {i} is here.</p>{extra}</body>"
     rows = [(i, f"http://Site.example:80/{i}", page(i)) for i in range(12)]
