@@ -11,8 +11,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ KEY = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVA
 #: Fixed prefixes of tokens that services issue.
 TOKEN = re.compile(
     r"(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{10,}|AIza[A-Za-z0-9_-]{30,}|"
-    r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+|glpat-[A-Za-z0-9_-]{16,})")
+    r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+|glpat-[A-Za-z0-9_-]{16,})")
 RANDOM = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 _TOKEN_STARTS = ("gh", "xox", "sk_", "AIza", "eyJ", "glpat-")
 
@@ -81,11 +83,13 @@ _SPAN = "array<struct<kind:string,s:bigint,e:bigint,digest:string>>"
 def _found(text: str) -> list[tuple[str, int, int]]:
     """All candidates of a text; wide ones that touch a base span are that span's and left out."""
     found = base_spans(text)
-    taken = [(s, e) for _, s, e in found]
-    for kind, s, e in wide_spans(text):
-        if not any(s < b and a < e for a, b in taken):
-            taken.append((s, e))
-            found.append((kind, s, e))
+    for _, own in groupby(wide_spans(text), key=lambda span: span[0]):  # spans of one kind never touch each other
+        taken = sorted((s, e) for _, s, e in found)
+        starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+        for span in list(own):
+            before = bisect_left(starts, span[2])
+            if not before or reach[before - 1] <= span[1]:
+                found.append(span)
     return found
 
 

@@ -66,6 +66,15 @@ def test_redaction_leaves_copied_examples(docs):
     assert texts[7] == '[secret]" [secret]'
 
 
+@pytest.mark.parametrize("text", ["0123456789abcdef0 " * 40_000, "a1B2c3D4e5F6g7H8i9J0k1L2m3 " * 40_000, "token=" * 60_000,
+                                  "eyJ" * 60_000, "-----BEGIN PRIVATE KEY-----" * 5_000, "AKIA" * 60_000])
+def test_long_texts_full_of_candidates(text):
+    found = secret_scan._found(text)
+    assert found[:len(secret_scan.base_spans(text))] == secret_scan.base_spans(text)
+    wide = sorted((s, e) for k, s, e in found if k in secret_scan.WIDE)
+    assert all(a[1] <= b[0] for a, b in zip(wide, wide[1:], strict=False))
+
+
 def test_empty_table(docs):
     assert secret_scan.digests(secret_scan.find_secrets(docs.where("false"))).collect() == []
 
