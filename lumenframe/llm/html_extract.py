@@ -13,6 +13,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +32,48 @@ BLOCKS = {"address", "article", "blockquote", "body", "center", "dd", "details",
           "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", *DROPPED} - {"input", "button", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CLOSES_P = BLOCKS - {"html", "body", "head"}
-#: Fixed words in class, id and role names that mark what is not the article.
+#: Words of class, id and role names that mark what is not the article ...
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|disqus|footer|header|"
-    r"masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|replies|respond|share|sharing|"
-    r"sidebar|skip-?link|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
+    r"ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|"
+    r"navigation|newsletter|notice|popup|promo\w*|related|replies|respond|share|sharing|sidebar|skip|skiplink|social|"
+    r"sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo|search")
+#: ... if all others say where or which it is; a layout modifier such as with-sidebar or search-results is no block.
+BESIDE = set("""area articles bar blog block body bottom box button buttons col column container entry field footer form global
+    group icons inner item items left links link list main media mobile nav page panel policy post posts primary reader
+    right secondary section sign signup site slot story the thread top unit up user wrap wrapper article""".split())
+TITLED = {"article", "blog", "entry", "page", "post", "story"}  # their headers hold the title
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s>]+)))?")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 SPACE = re.compile(r"\s+")
 
 
+def _attributes(text: str) -> dict[str, str]:
+    """Values by lower-case name; the first of a name counts, as in browsers."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(
+        NO_DISPLAY.search(html.unescape(attributes.get("style", ""))))
+
+
+@lru_cache(65_536)
+def _marks_block(kind: str, name: str) -> bool:
+    """Whether a whole class, id or role name denotes a block that is not the article."""
+    words = [w for w in re.split(r"[-_]+", name.lower()) if w and not w.isdigit()]
+    if words == ["search"]:
+        return kind == "role"
+    if "header" in words and not TITLED.isdisjoint(words):
+        return False
+    marks = [bool(MARKS.fullmatch(w)) for w in words]
+    return any(marks) and all(m or w in BESIDE for m, w in zip(marks, words, strict=True))
+
+
 class _Element:
     __slots__ = ("digest", "index", "name", "out", "parent")
 
@@ -119,12 +150,13 @@ def page_blocks(page: str) -> tuple[list[str], list[int], list[int], list[int],
         if name == "br":
             piece.append(" ")
             continue
-        attributes = found[3]
-        names = " ".join(sorted(f"{m[1].lower()}={m[2] or m[3] or m[4] or ''}" for m in NAMES.finditer(attributes))) if (
-            attributes) else ""
-        marked = bool(names) and name not in ("html", "body", "article", "main") and any(
-            MARKS.search(part.split("=", 1)[1]) for part in names.split(" ") if "=" in part)
-        dropped = name in DROPPED or marked or bool(attributes) and bool(HIDDEN.search(attributes))
+        closed = found[3].endswith("/")
+        attributes = _attributes(found[3]) if found[3] else {}
+        named = {kind: attributes[kind] for kind in ("class", "id", "role") if kind in attributes}
+        names = " ".join(f"{kind}={value}" for kind, value in named.items())
+        marked = bool(named) and name not in ("html", "body", "article", "main") and any(
+            _marks_block(kind, part) for kind, value in named.items() for part in value.split())
+        dropped = name != main and (name in DROPPED or marked or _hidden(attributes))
         if name not in BLOCKS and not dropped and not (stack and stack[-1].out):
             continue  # inline: its text belongs to the block around it
         if name in BLOCKS:
@@ -141,7 +173,7 @@ def page_blocks(page: str) -> tuple[list[str], list[int], list[int], list[int],
                     while stack[-1] is not open_:
                         close()
                     close()
-        if name in VOID or attributes.endswith("/") and name not in BLOCKS:
+        if name in VOID or closed and name not in BLOCKS:
             continue
         parent = stack[-1] if stack else None
         out = dropped or bool(parent and parent.out and name != main)

@@ -27,6 +27,18 @@ def test_blocks(page, want):
     assert text_of(page or "") == want
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<div {x}><p>a <a href='/hidden-gems'>b</a></p></div>", "a b") for x in (
+        "class='overflow-hidden'", "style='overflow: hidden'", 'class="post hidden-print"', "aria-hidden=false",
+        "class='with-sidebar'", "class=no-sidebar", "class='search results'", "data-note='display:none hidden'")
+] + [(f"<p>a</p><div {x}>b</div>", "a") for x in (
+        "hidden", 'hidden=""', "aria-hidden=true", "style='color:red; display : none'", "class='left-sidebar'",
+        "class='x related-posts'", "id=site_footer", "role=search")
+] + [("<article class='overflow-hidden'><p>a</p></article>", "a"), ("<article hidden><p>a</p></article>", "a")])
+def test_only_hidden_and_named_blocks_go(page, want):
+    assert text_of(page) == want
+
+
 @pytest.mark.parametrize("page", ["<div>" * 60_000 + "deep", "<" * 200_000, "<p " * 50_000, "<li>x" * 30_000,
                                   "word " * 200_000, "<!--" * 50_000, '<a href="' * 20_000])
 def test_odd_long_pages_end(page):
