@@ -25,11 +25,12 @@ from .shared import HashSet, hash_set, keep
 MIN_PAGES = 5  # pages of a host that hold a subtree before it counts as template ...
 MIN_SHARE = 0.2  # ... and their share of the host's pages,
 MAIN_SHARE = 0.8  # for pages that mark their main element, in which only what nearly every page repeats is template
-RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "canvas", "object", "title", "math")
-DROPPED = {*RAW, "head", "nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "input"}
+RAW = ("script", "style", "textarea", "title")  # no tags inside: text up to the closing tag, as browsers read them
+EMBEDDED = {"noscript", "template", "iframe", "svg", "canvas", "object", "math"}  # dropped without ending a line
+DROPPED = {*RAW, *EMBEDDED, "head", "nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "input"}
 BLOCKS = {"address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption",
           "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section",
-          "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", *DROPPED} - {"input", "button", "select"}
+          "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", *DROPPED} - {"input", "button", "select", *EMBEDDED}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CLOSES_P = BLOCKS - {"html", "body", "head"}
 #: Words of class, id and role names that mark what is not the article ...
@@ -151,6 +152,8 @@ def page_blocks(page: str) -> tuple[list[str], list[int], list[int], list[int],
             piece.append(" ")
             continue
         closed = found[3].endswith("/")
+        if closed and name in ("svg", "math"):
+            continue
         attributes = _attributes(found[3]) if found[3] else {}
         named = {kind: attributes[kind] for kind in ("class", "id", "role") if kind in attributes}
         names = " ".join(f"{kind}={value}" for kind, value in named.items())
@@ -176,7 +179,8 @@ def page_blocks(page: str) -> tuple[list[str], list[int], list[int], list[int],
         if name in VOID or closed and name not in BLOCKS:
             continue
         parent = stack[-1] if stack else None
-        out = dropped or bool(parent and parent.out and name != main)
+        sealed = any(opened[e] for e in EMBEDDED)
+        out = dropped or bool(parent and parent.out and (sealed or name != main))
         element = _Element(name, names, out, parent.index if parent else -1, len(elements))
         elements.append(element)
         stack.append(element)

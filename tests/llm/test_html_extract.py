@@ -39,6 +39,18 @@ def test_only_hidden_and_named_blocks_go(page, want):
     assert text_of(page) == want
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<article><p>a <svg width='1'/> b</p><p>c</p></article><svg><text>no</text></svg>", "a b\nc"),
+    ("<p>a<math/>b</p>", "ab"), ("<p>a <svg><g><svg><text>no</text></svg><text>no</text></g></svg>b</p>", "a b"),
+    ("<article><div><canvas>no</div><p>b</p></article>", "b"), ("<div><object data=x>no</div><p>b</p>", "b"),
+    ("<article><div><iframe src=x></div><p>b</p></article>", "b"), ("<p>a<iframe src=x></iframe>b</p>", "ab"),
+    ("<article><p>a</p></article><noscript><article><p>no</p></article></noscript>", "a"),
+    ("<template><template>no</template><p>no</p></template><p>a</p>", "a"), ("<p>a</p><script>no", "a"),
+])
+def test_embedded_elements_end_where_they_end(page, want):
+    assert text_of(page) == want
+
+
 @pytest.mark.parametrize("page", ["<div>" * 60_000 + "deep", "<" * 200_000, "<p " * 50_000, "<li>x" * 30_000,
                                   "word " * 200_000, "<!--" * 50_000, '<a href="' * 20_000])
 def test_odd_long_pages_end(page):
