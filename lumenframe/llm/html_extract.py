@@ -179,8 +179,7 @@ def page_blocks(page: str) -> tuple[list[str], list[int], list[int], list[int],
         if name in VOID or closed and name not in BLOCKS:
             continue
         parent = stack[-1] if stack else None
-        sealed = any(opened[e] for e in EMBEDDED)
-        out = dropped or bool(parent and parent.out and (sealed or name != main))
+        out = dropped or bool(parent and parent.out and (name != main or any(opened[e] for e in EMBEDDED)))
         element = _Element(name, names, out, parent.index if parent else -1, len(elements))
         elements.append(element)
         stack.append(element)
