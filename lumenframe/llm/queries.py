@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import debruijn, decontaminate, html_extract, metric_join, ngram_lm, packing, quality, secret_scan, simhash, token_scan
+from . import (debruijn, decontaminate, html_extract, metric_join, ngram_lm, packing, quality, secret_scan, simhash,
+               suffix_dedup, token_scan)
 from .shared import read_table
 from .tokens import default_byte_encoder, default_tokenizer
 
@@ -72,6 +73,11 @@ def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query
+def op11_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op2_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read_table(spark, sf_dir, "documents", "doc_id", "text"),
