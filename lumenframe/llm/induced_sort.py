@@ -1,14 +1,15 @@
 """Suffix sorting by induction in files: queues of suffix tuples on disk, common prefixes carried along, recursion.
 
 Suffixes are of type L (greater than the next one) or S (smaller); an S suffix behind an L one is a star. Stars are
-sorted first, by the same routine on their substrings and then by recursion on their names. From them all L suffixes
+sorted first, by the same routine on their substrings and then by recursion on their names (which ends in memory). From them all L suffixes
 are induced in ascending order and from these all S suffixes in descending order: whenever the queue gives out a suffix,
 the one before it in the text enters behind all that have entered with its symbol. The tuples are
 (key, position, common prefix with the one before it in its bucket); the common prefix of two induced suffixes is one
 more than the least common prefix of what was given out between those that induced them.
 
 All of it runs in batches: as many suffixes are taken at once as induce nothing that belongs between them. Texts, stars,
-queues and results are files; memory holds a batch, one bucket of several symbols, and buffers of a stated size.
+queues and results are files as soon as they exceed buffers of a stated size; beside these, memory holds a batch and one
+bucket of several symbols.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import numpy as np
 BUCKET_ROWS = 1 << 12  # rows for which a bucket of several symbols is planned
 QUEUE_ROWS = 1 << 21  # rows of a queue in memory (24 bytes each) before its buckets go to files
 BLOCK = 1 << 18  # rows read or written at a time
+BASE_ROWS = 1 << 21  # star names that are sorted in memory; more are a text of their own, induced like the first
+HELD_BYTES = 128 << 20  # a table up to this size stays in memory; a larger one is a mapped file
 _CELLS = 1 << 20  # cells of the histogram that plans the buckets
 _NONE = np.zeros((0, 3), np.int64)
 
@@ -115,7 +118,7 @@ class BucketQueue:
         if self.pending:
             rows, self.pending, self.pending_rows = np.concatenate(self.pending), [], 0
             bucket = np.searchsorted(self.edges, rows[:, 0], "right") - 1
-            order = np.argsort(bucket, kind="stable")
+            order = _grouped(bucket, len(self.edges))
             rows, bucket = rows[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             for b, part in zip(bucket[np.r_[0, cuts]].tolist(), np.split(rows, cuts), strict=True):
@@ -130,18 +133,30 @@ class BucketQueue:
             self.held, self.held_rows = {}, 0
 
 
-def _mapped(path: str, dtype, width: int = 0) -> np.ndarray:
-    if not os.path.getsize(path):
-        return np.zeros((0, width) if width else 0, dtype)
-    rows = np.memmap(path, dtype, "r")
-    return rows.reshape(-1, width) if width else rows
+def room(path: str, dtype, rows: int) -> np.ndarray:
+    """Space for an array, zeros at first."""
+    if rows * np.dtype(dtype).itemsize <= HELD_BYTES:
+        return np.zeros(rows, dtype)
+    return np.memmap(path, dtype, "w+", shape=(rows,))
 
 
 def _store(path: str, blocks: Iterator[np.ndarray], dtype, width: int = 0) -> np.ndarray:
-    with open(path, "wb") as out:
-        for block in blocks:
-            out.write(np.ascontiguousarray(block, dtype).data)
-    return _mapped(path, dtype, width)
+    held, size, filed = [], 0, False
+    for block in blocks:
+        held.append(np.ascontiguousarray(block, dtype))
+        size += held[-1].nbytes
+        if size > HELD_BYTES:
+            with open(path, "ab" if filed else "wb") as out:
+                for part in held:
+                    out.write(part.data)
+            held, size, filed = [], 0, True
+    if filed:
+        with open(path, "ab") as out:
+            for part in held:
+                out.write(part.data)
+        rows = np.memmap(path, dtype, "r")
+        return rows.reshape(-1, width) if width else rows
+    return np.concatenate([np.zeros((0, width) if width else 0, dtype), *held])
 
 
 def _edges(text: np.ndarray, symbols: int, flipped: bool) -> np.ndarray:
@@ -237,25 +252,25 @@ def _whole_run(text: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.concatenate([rows, out])
 
 
+def _grouped(values: np.ndarray, most: int) -> np.ndarray:
+    """A stable order of values from 0 to ``most``; small ones are sorted by their digits."""
+    return np.argsort(values.astype(np.uint16) if most < 1 << 16 else values, kind="stable")
+
+
 class _Minima:
     """Least value of any range of an array."""
 
     def __init__(self, values: np.ndarray):
-        self.levels, span = [values], 1
-        while 2 * span <= len(values):
-            last = self.levels[-1]
-            self.levels.append(np.minimum(last[:-span], last[span:]))
-            span *= 2
+        self.levels = np.empty((len(values).bit_length(), len(values)), np.int64)
+        self.levels[0] = values
+        for k in range(1, len(self.levels)):
+            span, until = 1 << (k - 1), len(values) - (1 << k) + 1
+            np.minimum(self.levels[k - 1, :until], self.levels[k - 1, span:span + until], out=self.levels[k, :until])
 
     def least(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Minima of values[first:last], all ranges nonempty."""
-        size = last - first
-        level = np.frexp(size.astype(np.float64))[1] - 1
-        out = np.empty(len(first), np.int64)
-        for k in np.unique(level).tolist():
-            own = level == k
-            out[own] = np.minimum(self.levels[k][first[own]], self.levels[k][last[own] - (1 << k)])
-        return out
+        level = np.frexp((last - first).astype(np.float64))[1] - 1
+        return np.minimum(self.levels[level, first], self.levels[level, last - (1 << level)])
 
 
 def _induce(text: np.ndarray, seeds: Iterator[np.ndarray], symbols: int, flipped: bool, folder: str,
@@ -317,7 +332,7 @@ def _induce(text: np.ndarray, seeds: Iterator[np.ndarray], symbols: int, flipped
             follows = False
         elif len(where):
             minima = _Minima(prefix)
-            order = np.argsort(target[where], kind="stable")
+            order = _grouped(target[where], symbols)
             by, to = where[order], target[where][order]
             fresh = np.ones(len(to), bool)
             np.not_equal(to[1:], to[:-1], out=fresh[1:])
@@ -380,7 +395,7 @@ def _both(text: np.ndarray, stars: Iterator[np.ndarray], symbols: int, folder: s
 
 
 def _stars(text: np.ndarray) -> Iterator[np.ndarray]:
-    """Positions of the stars, last block first."""
+    """Positions of the stars, last one first."""
     smaller, end = True, len(text)  # type of the suffix at ``end``; the last symbol is of type S
     yield np.array([len(text) - 1])
     end -= 1
@@ -394,10 +409,31 @@ def _stars(text: np.ndarray) -> Iterator[np.ndarray]:
         s = np.r_[s, smaller]
         inner = np.flatnonzero(s[1:-1] & ~s[:-2]) + 1 + start  # stars whose left neighbour lies in this block
         edge = [end] if end < len(text) - 1 and s[-1] and not s[-2] else []
-        yield np.r_[inner, np.array(edge, np.int64)]
+        yield np.r_[inner, np.array(edge, np.int64)][::-1]
         smaller, end = bool(s[0]), start
 
 
+def _doubled(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The end of the recursion: suffix array and common prefixes of a text in memory, by ranks of doubled lengths."""
+    n = len(text)
+    ranks, rank = [], np.asarray(text)
+    while rank.max() < n - 1:
+        ranks.append(rank.astype(np.int32))
+        ahead = np.zeros(n, np.int64)
+        span = 1 << (len(ranks) - 1)
+        ahead[:max(0, n - span)] = rank[span:] + 1
+        _, rank = np.unique(rank * (n + 1) + ahead, return_inverse=True)
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    a, b, shared = order[:-1], order[1:], np.zeros(n, np.int64)
+    for k in range(len(ranks) - 1, -1, -1):  # the last symbol is unlike all others, so equal ranks lie before it
+        x, y = a + shared[1:], b + shared[1:]
+        inside = np.maximum(x, y) < n
+        same = inside & (ranks[k][np.minimum(x, n - 1)] == ranks[k][np.minimum(y, n - 1)])
+        shared[1:] += same << k
+    return order, shared
+
+
 def sort_suffixes(text: np.ndarray, symbols: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
     """Rows (symbol, position, common prefix) of the L suffixes, ascending, and of the S suffixes, descending.
 
@@ -407,13 +443,7 @@ def sort_suffixes(text: np.ndarray, symbols: int, folder: str) -> tuple[np.ndarr
     os.makedirs(folder, exist_ok=True)
     if len(text) == 1:
         return np.zeros((0, 3), np.int64), np.array([[0, 0, 0]])
-    parts = []
-    for block in _stars(text):
-        parts.append(f"{folder}/stars-{len(parts)}")
-        block.tofile(parts[-1])
-    star = _store(f"{folder}/stars", (np.fromfile(p, np.int64) for p in reversed(parts)), np.int64)
-    for p in parts:
-        os.remove(p)
+    star = _store(f"{folder}/stars", _stars(text), np.int64)[::-1]
 
     def in_text_order() -> Iterator[np.ndarray]:
         for at in _blocks(star):
@@ -446,10 +476,13 @@ def sort_suffixes(text: np.ndarray, symbols: int, folder: str) -> tuple[np.ndarr
     if names == len(star):
         order, shared = pairs[:, 0], None
     else:
-        reduced = np.memmap(f"{folder}/reduced", np.int64, "w+", shape=(len(star),))
+        reduced = room(f"{folder}/reduced", np.int64, len(star))
         for block in _blocks(pairs):
             reduced[block[:, 0]] = block[:, 1]
-        order, shared = merged(reduced, *sort_suffixes(reduced, names, f"{folder}/next"), f"{folder}/next")
+        if len(reduced) <= BASE_ROWS:
+            order, shared = _doubled(reduced)
+        else:
+            order, shared = merged(reduced, *sort_suffixes(reduced, names, f"{folder}/next"), f"{folder}/next")
 
     def sorted_stars() -> Iterator[np.ndarray]:
         for i in range(0, len(star), BLOCK):
@@ -485,10 +518,9 @@ def seams(text: np.ndarray, ascending: np.ndarray, descending: np.ndarray) -> tu
 
 
 def merged(text: np.ndarray, ascending: np.ndarray, descending: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array and the common prefixes of neighbours, as files."""
+    """The suffix array and the common prefixes of neighbours."""
     n = len(text)
-    order = np.memmap(f"{folder}/order", np.int64, "w+", shape=(n,))
-    prefix = np.memmap(f"{folder}/prefix", np.int64, "w+", shape=(n,))
+    order, prefix = room(f"{folder}/order", np.int64, n), room(f"{folder}/prefix", np.int64, n)
     s_rows = len(descending)
     falling = -descending[:, 0]  # ascending by symbol from the end, hence sorted as it stands
     for i in range(0, len(ascending), BLOCK):

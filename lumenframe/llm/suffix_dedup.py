@@ -27,12 +27,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .induced_sort import BLOCK, seams, sort_suffixes
+from .induced_sort import BLOCK, room, seams, sort_suffixes
 from .shared import BATCH_BYTES, keep, mix, mounted, shared_path, text_slices
 
 ANCHOR_BYTES, HOT_K = 32, 160
 HOT_WAYS = 100_000  # different paths of an anchor from which on they are dealt out further
-SHARD_BYTES = 8 << 20  # path text for which a shard is planned; a hot anchor may exceed it
+SHARD_BYTES = 4 << 20  # path text for which a shard is planned; a hot anchor may exceed it
 REPEATED, COMPARED, SPLIT = 1, 2, 4
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -131,13 +131,15 @@ def _mark_rows(window: int, k: int, schema: pa.Schema):
                 out = {name: [] for name in schema.names[1:]}
                 for key, text, found in zip(rows.column("key").to_pylist(), texts, rows.column("paths").to_pylist(), strict=True):
                     flags = {(x["anchor"], x["path"]): x["flag"] for x in found or ()}
-                    covered, opened = [], []
+                    covered, opened, given = [], [], set()
                     for anchors, starts, sizes in cut_paths(text, window, k) if flags else ():
                         for a, s, n in zip(anchors.tolist(), starts.tolist(), sizes.tolist(), strict=True):
-                            flag = flags.get((a, _content(text, s, n, window)), 0)
+                            path = (a, _content(text, s, n, window))
+                            flag = flags.get(path, 0)
                             if flag & REPEATED:
                                 covered.append((s, s + n + window - 1))
-                            if flag & COMPARED:
+                            if flag & COMPARED and path not in given:
+                                given.add(path)
                                 opened += bodies(text, flag, a, s, n)
                     spans = _merged(covered)
                     gone, runs, digest = (None, None, None) if opened else _kept(text, spans)
@@ -163,12 +165,12 @@ def _finish_rows(schema: pa.Schema):
 
 
 def repeated_windows(text: np.ndarray, window: int, folder: str) -> np.ndarray:
-    """Marks (a file of one byte a position) of suffixes that share ``window`` symbols with another one.
+    """Marks (one byte a position) of suffixes that share ``window`` symbols with another one.
 
     The text holds symbols below 256 and ends in its only 0.
     """
     ascending, descending = sort_suffixes(text, 256, folder)
-    marks = np.memmap(f"{folder}/marks", np.uint8, "w+", shape=(len(text),))
+    marks = room(f"{folder}/marks", np.uint8, len(text))
     for table in (ascending, descending):
         for i in range(0, len(table), BLOCK):
             rows = table[max(i - 1, 0):i + BLOCK]
@@ -239,9 +241,11 @@ def remove_repeats(docs: DataFrame, window: int = 200, k: int = ANCHOR_BYTES) ->
     often = keep(paths.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor"), "often-anchors")
     shared = keep(paths.join(often, "anchor"), "shared-paths")
     distinct = keep(shared.groupBy("anchor", "path").agg(F.sum("n").alias("total"), F.min("key").alias("owner")), "distinct-paths")
-    ways = keep(distinct.groupBy("anchor").agg(F.count("*").alias("ways")), "ways")
+    # Where all paths of an anchor occur twice they are settled without a comparison.
+    ways = keep(distinct.groupBy("anchor").agg(
+        F.count("*").alias("ways"), F.count(F.when(F.col("total") == 1, 1)).alias("single")), "ways")
     known = keep(distinct.join(ways, "anchor").where("total > 1 or ways > 1"), "known-paths")
-    compared = (F.col("ways") > 1) & (F.col("owner") == F.col("key"))
+    compared = (F.col("ways") > 1) & (F.col("single") > 0) & (F.col("owner") == F.col("key"))
     flagged = shared.join(known, ["anchor", "path"]).select("key", "anchor", "path", (
         F.when(F.col("total") > 1, REPEATED).otherwise(0) + F.when(compared, COMPARED).otherwise(0)
         + F.when(compared & (F.col("ways") > HOT_WAYS), SPLIT).otherwise(0)).alias("flag")).where("flag > 0").distinct()

@@ -71,7 +71,7 @@ def naive_order(text):
 @pytest.mark.parametrize("tiny", [False, True])
 def test_induced_sorting_equals_sorting(tmp_path, monkeypatch, tiny):
     if tiny:  # everything through files
-        for name, value in (("BUCKET_ROWS", 4), ("BLOCK", 5)):
+        for name, value in (("BUCKET_ROWS", 4), ("BLOCK", 5), ("HELD_BYTES", 100), ("BASE_ROWS", 0)):
             monkeypatch.setattr(induced_sort, name, value)
         monkeypatch.setattr(induced_sort.BucketQueue.__init__, "__defaults__", (8,))
     rng = np.random.default_rng(2)
