@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -50,3 +51,12 @@ def share_package(spark: SparkSession) -> None:
     """Let Python workers find this package wherever the driver was started."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder, deleted when the application ends."""
+    context = spark.sparkContext
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import os
 from collections.abc import Iterator, Sequence
 
@@ -9,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.nulls import NULL_TOKENS, normalize_nulls, null_tokens_to_null
+from .records import array_records, csv_records
 from .workbook import sheet_rows
 
 # File endings and the readers they lead to.
@@ -80,9 +83,12 @@ def read_csv(
     tokens: Sequence[str] = NULL_TOKENS,
 ) -> DataFrame:
     """CSV with a header. Without a schema everything is read as text, null markers are removed and types
-    are inferred from all rows; a schema names and types the columns in their order. Single-line records keep files splittable."""
-    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
-    raw = reader.option("inferSchema", False).csv(path)
+    are inferred from all rows; a schema names and types the columns in their order. Files are split among tasks, with
+    ``multiline`` (values that hold line ends) as well."""
+    if multiline:
+        raw = _multiline_csv(spark, path)
+    else:
+        raw = spark.read.option("header", True).option("escape", '"').option("inferSchema", False).csv(path)
     if schema is not None:
         wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
         if len(raw.columns) != len(wanted):
@@ -96,6 +102,19 @@ def read_csv(
         else F.col(f"`{f.name}`") for f in wanted]))
 
 
+def _multiline_csv(spark: SparkSession, path: str) -> DataFrame:
+    records = csv_records(spark, path)
+    options = {"escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}
+    # Every file's first record is its header; the names are taken from the first file.
+    first = records.where("block = 0 and number = 0").orderBy("file").select("record").first()
+    if first is None:
+        return spark.createDataFrame([], "value string").select()
+    header = next(csv.reader(io.StringIO(first.record)))
+    schema = ", ".join(f"`_{i}` string" for i in range(len(header)))
+    rows = records.where("block > 0 or number > 0").select(F.from_csv("record", schema, options).alias("r"))
+    return rows.select(*[F.col(f"r._{i}").alias(name) for i, name in enumerate(header)])
+
+
 def json_layout(spark: SparkSession, path: str) -> str:
     """lines, records or columns, told from how the text begins: an array holds records; an object that ends on its
     line is one of many lines, unless all it holds is objects, which makes it a table by columns."""
@@ -118,17 +137,17 @@ _BY_COLUMN = "map<string,map<string,string>>"
 def read_json(
     spark: SparkSession, path: str, lines: bool | None = None, schema: T.StructType | str | None = None
 ) -> DataFrame:
-    """JSON lines (splittable), files holding one array of records each (``lines=False``), or tables by columns; unless
-    told, the layout is looked up."""
+    """JSON lines, files holding one array of records each (``lines=False``; both are split among tasks), or tables by
+    columns; unless told, the layout is looked up."""
     layout = json_layout(spark, path) if lines is None else "lines" if lines else "records"
     if layout == "columns":
         found = read_column_json(spark, path)
         return found if schema is None else found.select(*[
             F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name)
             for f in (schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema))])
-    reader = spark.read.option("multiLine", layout == "records")
-    if schema is not None:
-        reader = reader.schema(schema)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    if layout == "records":
+        return normalize_nulls(reader.json(array_records(spark, path).select("record").rdd.map(lambda r: r.record)))
     return normalize_nulls(reader.json(path))
 
 
