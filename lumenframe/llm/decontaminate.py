@@ -2,6 +2,7 @@
 
 Texts and items are compared as lower-case words joined by single spaces. An item may differ in up to a share of its
 characters; cut into one piece more than that budget, at least one piece survives any such differences unchanged.
+Short items are one piece, with the spaces at their ends: they must stand there as whole words.
 All pieces of all items are searched in a text at once; where one is found, the region that the item would cover is
 verified with Myers' bit-parallel edit distance. The benchmark is taken in blocks of bounded size, each a pass.
 """
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 ERROR_SHARE = 1 / 16  # edits allowed per character of an item
-MIN_CHARS = 32  # items shorter than this say too little to tell contamination from chance
+EXACT_CHARS = 32  # shorter items allow no edit: they count where they stand word for word
 BLOCK_CHARS = 8 << 20  # benchmark text that one pass broadcasts at most (one longer item is a block of its own)
 _GAPS = re.compile(r"[\W_]+")
 
@@ -39,12 +40,14 @@ class Pattern:
         return [(self.text[a:b], a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def patterns(items: list[tuple[object, str | None]], share: float = ERROR_SHARE, least: int = MIN_CHARS) -> list[Pattern]:
+def patterns(items: list[tuple[object, str | None]], share: float = ERROR_SHARE, exact: int = EXACT_CHARS) -> list[Pattern]:
+    """The items to search; those without any word (null, blank, signs only) have nothing to search for."""
     found = []
     for item, text in items:
         plain = normal(text)
-        if len(plain) - 2 >= least:
-            found.append(Pattern(item, plain, int((len(plain) - 2) * share)))
+        size = len(plain) - 2
+        if size > 0:
+            found.append(Pattern(item, plain, int(size * share) if size >= exact else 0))
     return found
 
 
@@ -155,11 +158,16 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[Pattern]]:
         yield patterns(held)
 
 
+def wordless(benchmark: DataFrame) -> DataFrame:
+    """The rows of the benchmark that cannot be searched, as nothing is left of them but spaces: null, blank, signs only."""
+    return benchmark.where(~F.coalesce(F.col("text").rlike(r"(?U)[\w&&[^_]]"), F.lit(False)))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, places): items found in a text within the budget, with the smallest distance.
 
-    Whole texts are searched; null and empty ones hold nothing. Items that are null or shorter than MIN_CHARS are not
-    searched. Repeated rows are reported each; so are items that occur twice in the benchmark under different ids.
+    Whole texts are searched; null and empty ones hold nothing. Short items (below
+    EXACT_CHARS) must stand there word for word; ``wordless`` gives the items that hold nothing to search. Repeated rows are reported each; so are items that occur twice in the benchmark under different ids.
     Other columns are ignored.
     """
     from pyspark.sql.pandas.types import to_arrow_type

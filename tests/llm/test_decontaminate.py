@@ -38,13 +38,14 @@ def test_matches_brute_force(spark):
     rng = random.Random(4)
     words = lambda n: " ".join(rng.choice(["alpha", "beta", "gam", "de", "epsilon", "zeta", "et"]) + str(rng.randrange(90))
                                for _ in range(n))
-    items = [(i, words(8 + 4 * i)) for i in range(8)] + [(90, None), (91, ""), (92, "too short"), (93, words(9)), (94, "")]
+    items = [(i, words(8 + 4 * i)) for i in range(8)] + [(90, None), (91, ""), (92, "too short"), (93, words(9)), (94, "__ +-"), (96, "short!")]
     items.append((95, items[3][1]))
     docs = [(0, None), (1, ""), (2, " \n"), (None, f"x {items[2][1]}")]
     for i, (_, text) in enumerate(items[:8] + items[11:12]):
         for edits in (0, 1, 3, 6, 14, 40):
             docs.append((10_000 + 100 * i + edits, f"{words(30)} {edited(text, edits, rng).upper()}, {words(20)}"))
         docs.append((1000 + i, text[: len(text) // 2]))
+    docs += [(6000, "This is Too-short, not tooshort."), (6001, "it is too shorter"), (6002, "ashort")]
     docs += [(5000, f"{items[0][1]}! {items[0][1]}"), (5001, words(40_000) + " " + items[5][1]), docs[5], docs[5]]
     frame = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, item_id int, distance int")
     bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
@@ -59,6 +60,8 @@ def test_matches_brute_force(spark):
             if distance <= p.budget:
                 want.append((doc, p.item, distance))
     assert got == sorted(want, key=str)
+    assert {(6000, 92, 0), (6000, 96, 0)} == {x for x in got if x[0] in (6000, 6001, 6002)}
+    assert sorted(r.item_id for r in decontaminate.wordless(bench).collect()) == [90, 91, 94]
     left = decontaminate.clean(frame, bench)
     assert left.columns == frame.columns
     hit = {x[0] for x in want}

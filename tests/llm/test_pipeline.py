@@ -1,5 +1,8 @@
+import re
+from collections import Counter
+
 import corpus_pipeline
-from lumenframe.llm import decontaminate, quality, secret_scan, simhash
+from lumenframe.llm import decontaminate, quality, secret_scan
 from lumenframe.llm.packing import CAPACITY
 
 FOLDER = "/root/testdata/sf0.01"
@@ -20,16 +23,23 @@ def test_stages_match_plain_versions(spark):
     assert sum(judged) / len(judged) > 0.97
 
     groups: dict[int, int] = {d: d for d in kept}
-    prints = {d: simhash.text_fingerprint((r.text or "").encode(), 3) for d, r in kept.items()}
+    sets, holders = {}, {}
+    for d, r in kept.items():
+        words = re.findall(r"[^\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in r.text or ""))
+        n = corpus_pipeline.SHINGLE
+        sets[d] = {tuple(words[i:i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+        for x in sets[d]:
+            holders.setdefault(x, []).append(d)
 
     def find(d):
         while groups[d] != d:
             d = groups[d]
         return d
     ids = sorted(kept)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1:]:
-            if (prints[a] ^ prints[b]).bit_count() <= corpus_pipeline.NEAR_BITS:
+    for a in ids:
+        shared = Counter(b for x in sets[a] for b in holders[x] if b > a)
+        for b, both in shared.items():
+            if both >= corpus_pipeline.SIMILARITY * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(a), find(b)
                 groups[max(x, y)] = min(x, y)
     single = stages["near_duplicates"](spark, good, FOLDER)
@@ -65,17 +75,31 @@ def test_stages_match_plain_versions(spark):
     assert max(sums.values()) <= CAPACITY
 
 
+ODD = [(1, None, "en", "s", None, 7, 0.5, "k"), (1, None, "en", "s", None, 7, 0.5, "k"), (None, "", None, None, 0, 7, 0.5, "k"),
+       (2, "plain words of a text", "en", None, 21, 7, 0.5, "k"), (2, "another text under this id", "en", None, 26, 7, 0.5, "k"),
+       (3, "long text " * 50_000 + "end", "en", "s", 500_003, 7, 0.5, "k")]
+ODD_SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, fp int, quality_score double, __key string")
+
+
 def test_odd_rows_pass_through(spark):
-    docs = spark.createDataFrame(
-        [(1, None, "en", "s", None, 7), (1, None, "en", "s", None, 7), (None, "", None, None, 0, 7),
-         (2, "plain words of a text", "en", None, 21, 7), (2, "another text under this id", "en", None, 26, 7)],
-        "doc_id long, text string, lang string, source string, n_chars long, fp int")
+    docs = spark.createDataFrame(ODD, ODD_SCHEMA)
+    whole = spark.read.parquet(f"{FOLDER}/documents.parquet").unionByName(docs, allowMissingColumns=True)
+    good = corpus_pipeline.good_quality(spark, whole, FOLDER)
+    assert good.columns == whole.columns and good.where("quality_score = 0.5").count() <= len(ODD)
     for _, stage in corpus_pipeline.STAGES[1:-1]:
         out = stage(spark, docs, FOLDER)
         assert out.columns == docs.columns
     single = corpus_pipeline.one_of_each_group(spark, docs, FOLDER).collect()
-    assert sorted(str(r.text) for r in single if r.text) == ["another text under this id", "plain words of a text"]
-    assert len(single) == 3
+    assert sorted(str(r.text)[:10] for r in single if r.text) == ["another te", "long text ", "plain word"]
+    assert len(single) == 4
+    pieces = corpus_pipeline.packed(spark, docs, FOLDER).collect()
+    assert sum(p.length for p in pieces if p.doc_id is None) == 1 and {p.doc_id for p in pieces} == {1, 2, 3, None}
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], ODD_SCHEMA)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs, FOLDER).collect() == []
 
 
 def test_whole_run(spark):
