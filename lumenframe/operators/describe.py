@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.moments import excess_kurtosis, sample_skewness
 from ..functions.special import shapiro_wilk
-from .profile import TableProfile, columns_of_kind
+from .profile import TableProfile, column_kind, columns_of_kind
 from .quantiles import exact_quantiles, long_values, named
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -83,6 +83,47 @@ def grouped_summary(df: DataFrame, group_by: str, columns: Sequence[str] | None
     )
 
 
+def compute_statistics(
+    df: DataFrame, columns: Sequence[str] | None = None, group_by: str | None = None
+) -> DataFrame:
+    """Statistics of numeric and categorical columns in one table, a row per column (and group).
+
+    Numeric columns have their summary and, with 8 to 5,000 values, the normality test; categorical (text and boolean)
+    ones their number of values, mode and ten most frequent values. Without ``columns`` all numeric ones are taken, as
+    within groups, whose categorical columns are left out; unknown columns are passed over.
+    """
+    numbers = [c for c in choose_columns(df, columns) if c != group_by]
+    texts = [] if group_by else [c for c in columns or () if c in df.columns and c not in numbers and column_kind(
+        df.schema[c].dataType) in ("string", "boolean")]
+    keys = [F.lit(None).cast("string").alias("group")] if not group_by else [_c(group_by).cast("string").alias("group")]
+    parts = []
+    if numbers:
+        summary = grouped_summary(df, group_by, numbers) if group_by else numeric_summary(df, numbers)
+        tests = normality(df, numbers, group_by).select(
+            *([F.col("group").alias("tested_group")] if group_by else []), F.col("column").alias("tested_column"),
+            F.col("statistic").alias("normality_statistic"), F.col("p_value").alias("normality_p"), "is_normal")
+        rows = summary.select(*keys, "column", F.lit("numeric").alias("kind"), *_STATS)
+        same = F.col("column") == F.col("tested_column")
+        if group_by:
+            same = same & (F.col("group") == F.col("tested_group"))
+        # A row per column and group on both sides.
+        parts.append(rows.join(tests, same, "left").drop("tested_column", "tested_group"))
+    if texts:
+        tops = top_values(df, texts, 10).groupBy("column").agg(F.transform(
+            F.array_sort(F.collect_list(F.struct("rank", "value", "count"))),
+            lambda x: F.struct(x["value"].alias("value"), x["count"].alias("count"))).alias("top_values"))
+        parts.append(categorical_summary(df, texts).join(F.broadcast(tops), "column", "left").select(
+            *keys, "column", F.lit("categorical").alias("kind"), "unique_count", "mode", "mode_frequency", "missing_count", "top_values"))
+    if not parts:
+        raise ValueError("Neither numeric nor categorical columns were asked for.")
+    empty = df.sparkSession.createDataFrame([], (
+        f"group string, kind string, {_STATS_SCHEMA}, normality_statistic double, normality_p double, is_normal boolean, "
+        "unique_count bigint, mode string, mode_frequency bigint, top_values array<struct<value:string,count:bigint>>"))
+    for part in parts:
+        empty = empty.unionByName(part, allowMissingColumns=True)
+    return empty
+
+
 def value_counts(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
     """Values by frequency (ties by value), NULL left out; ``k`` makes it a top-k."""
     counted = df.where(_c(column).isNotNull()).groupBy(_c(column).alias("value")).agg(F.count("*").alias("count"))

@@ -259,6 +259,33 @@ def normality(spark, sf_dir):
 _HOLES = ("first_quantity", "shipped_value", "carrier")
 
 
+_TESTED_SQL = f"""count(x) AS count, {r('avg(x)', 6)} AS mean, {r('quantile_cont(x, 0.5)', 6)} AS median,
+  CASE WHEN count(x) BETWEEN 8 AND 5000 THEN 1 ELSE 0 END AS tested, count(*) - count(x) AS missing_count"""
+
+
+# The test's figures have no SQL (they are compared with tables in the tests); whether it was made has.
+@query("statistics_one_call", f"""SELECT 'c_acctbal' AS "column", 'numeric' AS kind, {_TESTED_SQL}, NULL::BIGINT AS unique_count,
+NULL::VARCHAR AS mode, NULL::BIGINT AS mode_frequency, NULL::VARCHAR AS top FROM (SELECT c_acctbal AS x FROM customer)
+UNION ALL SELECT 'c_mktsegment', 'categorical', NULL, NULL, NULL, 0, count(*) - count(c_mktsegment), count(DISTINCT c_mktsegment),
+(SELECT c_mktsegment FROM customer GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), (SELECT max(n) FROM (SELECT count(*) AS n FROM customer GROUP BY c_mktsegment)),
+(SELECT string_agg(c_mktsegment || '=' || n, ', ' ORDER BY n DESC, c_mktsegment) FROM (SELECT c_mktsegment, count(*) AS n FROM customer
+ WHERE c_mktsegment IS NOT NULL GROUP BY 1)) FROM customer""")
+def statistics_one_call(spark, sf_dir):
+    found = describe.compute_statistics(table(spark, sf_dir, "customer"), ["c_acctbal", "c_mktsegment", "no_such_column"])
+    return rounded(found, mean=6, median=6).select(
+        "column", "kind", "count", "mean", "median", F.col("is_normal").isNotNull().cast("int").alias("tested"), "missing_count",
+        "unique_count", "mode", "mode_frequency", F.array_join(F.transform(
+            "top_values", lambda x: F.concat(x["value"], F.lit("="), x["count"].cast("string"))), ", ").alias("top"))
+
+
+@query("statistics_by_group", f"""SELECT c_mktsegment AS "group", {_TESTED_SQL} FROM (SELECT c_mktsegment, c_acctbal AS x FROM customer)
+WHERE c_mktsegment IS NOT NULL GROUP BY 1""")
+def statistics_by_group(spark, sf_dir):
+    found = describe.compute_statistics(table(spark, sf_dir, "customer"), ["c_acctbal", "c_mktsegment"], "c_mktsegment")
+    return rounded(found, mean=6, median=6).select(
+        "group", "count", "mean", "median", F.col("is_normal").isNotNull().cast("int").alias("tested"), "missing_count")
+
+
 @query("missing_report", union_all([
     f"""SELECT * FROM (SELECT '{c}' AS "column", count(*) - count({c}) AS missing_count,
     round(100.0 * (count(*) - count({c})) / count(*), 2)::DOUBLE AS missing_pct, count({c}) AS present_count
