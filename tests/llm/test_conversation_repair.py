@@ -75,6 +75,7 @@ def fixture():
             turn = int(t + (t > 4) * 3) if rng.random() > 0.1 else None
             role = roles[t % 2] if rng.random() > 0.4 else roles[rng.integers(len(roles))]
             rows.append((conv, turn, role, texts[rng.integers(len(texts))] if rng.random() > 0.5 else f"answer {t}."))
+    rows += [(3, 90, "assistant", "very long " * 300_000 + "."), (3, 91, "assistant", "very long " * 300_000 + ".")]
     return rows + [(1, 2, "user", "twice."), (1, 2, "user", "twice."), (1, 2, "assistant", "twice.")]
 
 

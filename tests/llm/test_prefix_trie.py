@@ -57,6 +57,7 @@ def fixture():
             k = t if shared else int(rng.integers(0, 3))
             rows.append((c, t if t else None, [None, "user", "assistant"][k % 3], [None, "", "é" * k][k % 3] if not shared else f"t{t}"))
     rows += [(500, t, "user", "again and again") for t in range(300)] + [(505, t, "user", "again and again") for t in range(300)]
+    rows += [(c, 0, "user", "very long " * 300_000) for c in (901, 902)]
     rows += [(7, 3, "user", "a"), (7, 3, "user", "a"), (7, 3, "assistant", "a"), (None, 1, "user", "lost"), (900, 0, "u", "ser")]
     return [(*r, 1, 2) for r in rows]
 

@@ -46,6 +46,17 @@ def test_matches_brute_force(spark, monkeypatch, window, k, hot):
     assert sorted(map(tuple, got.collect()), key=str) == plain(rows, window)
 
 
+def test_very_long_text(spark):
+    """A passage at the border of two pieces of a long text, and in a short one, goes from both and nothing else does."""
+    rng = np.random.default_rng(9)
+    letters = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    passage, head, tail = letters(300), letters(suffix_dedup.BATCH_BYTES - 150), letters(400_000)
+    texts = {1: f"{head}-{passage}+{tail}", 2: f"one {passage} two"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = {d: (len(t), 300, 1, hashlib.sha256(t.replace(passage, "").encode()).hexdigest()) for d, t in texts.items()}
+    assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs).collect()} == want
+
+
 def test_empty_table(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
