@@ -26,6 +26,18 @@ def profile_lineitem(spark, sf_dir):
     return profile.missing_summary(table(spark, sf_dir, "lineitem"))
 
 
+@query("boolean_profile", union_all([
+    f"""SELECT '{c}' AS "column", 'boolean' AS dtype, 'boolean' AS semantic_class, count(*) AS row_count, count(*) - count(x) AS missing_count,
+    round(100.0 * (count(*) - count(x)) / count(*), 2)::DOUBLE AS missing_pct FROM (SELECT {x} AS x FROM documents)"""
+    for c, x in (("is_long", "n_chars > 500"), ("is_even", "CASE WHEN n_chars % 3 <> 0 THEN n_chars % 2 = 0 END"))
+]))
+def boolean_profile(spark, sf_dir):
+    flags = table(spark, sf_dir, "documents").select(
+        (F.col("n_chars") > 500).alias("is_long"), F.when(F.col("n_chars") % 3 != 0, F.col("n_chars") % 2 == 0).alias("is_even"))
+    return profile.infer_profile(flags).to_df(spark).where("is_boolean").select(
+        "column", "dtype", "semantic_class", "row_count", "missing_count", "missing_pct")
+
+
 @query("missing_summary", _missing_sql(LABELED_SQL, ("doc_id", "lang", "source", "n_chars", "quality", "toxic")))
 def missing_summary(spark, sf_dir):
     return profile.missing_summary(labeled_documents(spark, sf_dir))

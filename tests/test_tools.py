@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import charts, conversation, custom, importance, profile, sample
+from lumenframe.operators import charts, conversation, custom, describe, importance, profile, sample
 from lumenframe.plans import eda, temporal
 from lumenframe.plans.statistical import impossible_value_rules
 from lumenframe.plans.validate import row_violations
@@ -288,3 +288,19 @@ def test_row_rules_on_a_stream(spark, tmp_path):
     streamed = row_violations(stream, ["id"], known, checks=["statistical", "temporal"], with_bounds=False)
     assert streamed.isStreaming
     assert temporal.future_rules(["ts"])[0].rule == "future_date"
+
+
+def test_statistics_in_one_call(spark):
+    df = spark.createDataFrame(
+        [(g, float(i % 7), "even" if i % 2 == 0 else None, i % 3 == 0) for i, g in enumerate("ab" * 10 + "ccc")],
+        "g string, v double, parity string, third boolean")
+    found = {r.column: r for r in describe.compute_statistics(df, ["v", "parity", "third", "missing"]).collect()}
+    assert set(found) == {"v", "parity", "third"}
+    assert found["v"].kind == "numeric" and found["v"]["count"] == 23 and found["v"].is_normal is not None
+    assert (found["parity"].unique_count, found["parity"].mode, found["parity"].missing_count) == (1, "even", 11)
+    assert [tuple(x) for x in found["third"].top_values] == [("false", 15), ("true", 8)]
+    groups = {r.group: r for r in describe.compute_statistics(df, ["v", "parity"], "g").collect()}
+    assert {g: r["count"] for g, r in groups.items()} == {"a": 10, "b": 10, "c": 3}
+    assert groups["c"].is_normal is None and groups["a"].is_normal is not None
+    with pytest.raises(ValueError, match="Neither"):
+        describe.compute_statistics(df, ["missing"]).collect()
