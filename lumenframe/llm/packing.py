@@ -109,18 +109,26 @@ def differencing(lengths: np.ndarray, windows: int) -> np.ndarray:
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """Window of each piece (all at most ``capacity``): differencing, with more windows until all fit.
+    """Window of each piece (all at most ``capacity``): differencing into as many windows as the tokens fill at least.
 
-    The first count leaves each window the few tokens by which sums come to differ, without which it always fails.
+    While a window exceeds the capacity the count rises, in doubling steps; the counts that were passed over are
+    then bisected down to one that fits next to one that does not.
     """
-    windows = max(1, -(-int(lengths.sum()) // (capacity - capacity // 256)))
-    step = 1
-    while True:
+    def fitting(windows: int) -> np.ndarray | None:
         window = differencing(lengths, windows)
-        if np.bincount(window, lengths, windows).max() <= capacity:
-            return window
-        windows += step
-        step = max(1, windows // 128)
+        return window if np.bincount(window, lengths, windows).max() <= capacity else None
+
+    windows, step = max(1, -(-int(lengths.sum()) // capacity)), 1
+    failed = windows - 1
+    while (best := fitting(windows)) is None:
+        failed, windows, step = windows, windows + step, 2 * step
+    while windows - failed > 1:
+        middle = (failed + windows) // 2
+        if (window := fitting(middle)) is None:
+            failed = middle
+        else:
+            windows, best = middle, window
+    return best
 
 
 def _pack_rows(capacity: int):

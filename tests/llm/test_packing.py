@@ -80,3 +80,11 @@ def test_pieces_rebuild_every_document(spark, capacity):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(empty, PATH).collect() == []
+
+
+def test_window_count_starts_at_the_tokens_over_the_capacity():
+    assert packing.pack(np.array([1000, 1045]), 2048).tolist() == [0, 0]
+    assert packing.pack(np.array([1024, 1024]), 2048).tolist() == [0, 0]
+    assert sorted(packing.pack(np.array([1025, 1025, 1025]), 2048).tolist()) == [0, 1, 2]
+    lengths = np.full(700, 1025)
+    assert len(set(packing.pack(lengths, 2048).tolist())) == 700
