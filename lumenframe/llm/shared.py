@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
@@ -16,6 +17,7 @@ from ..session import ensure_checkpoint_dir
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 BATCH_BYTES = 2 << 20  # text that one round of numpy arrays covers; a longer text makes a round of its own
+_scratches: list[list[str]] = []  # paths made inside the open ``scratch`` blocks
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -36,10 +38,34 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the cluster's shared folder, deleted when the application ends."""
     prepare(spark)
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files, target = _files(spark, path)
+    files.deleteOnExit(target)
+    if _scratches:
+        _scratches[-1].append(path)
+    return path
+
+
+def _files(spark: SparkSession, path: str):
     context = spark.sparkContext
     target = context._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
+    return target.getFileSystem(context._jsc.hadoopConfiguration()), target
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a shared path that nothing reads any more."""
+    files, target = _files(spark, path)
+    files.delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the shared paths made inside when it ends; what is to stay must be written to a path made before."""
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for path in _scratches.pop():
+            drop(spark, path)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
