@@ -35,18 +35,21 @@ def aggregate_by(df: DataFrame, x: str, y: str, aggregation: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, x: str, color: str | None = None, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """(bucket, lower, upper, [color], count) in equal-width bins; texts are counted by value."""
+    """(bucket, lower, upper, [color], count) in equal-width bins; texts are counted by value.
+
+    A bin holds its lower end, the last one its upper end too; rows and ends are laid out by the same width.
+    """
     extra = [color] if color else []
     if x not in columns_of_kind(df, "numeric"):
         return df.where(_c(x).isNotNull()).groupBy(_c(x).alias("value"), *extra).agg(F.count("*").alias("count"))
     v = _c(x).cast("double")
     span = df.agg(F.struct(F.min(v).alias("low"), F.max(v).alias("high"))).scalar()
     low, high = span["low"], span["high"]
-    bucket = F.when(low == high, F.lit(1)).otherwise(F.least(F.width_bucket(v, low, high, F.lit(bins)), F.lit(bins)))
+    width = (high - low) / bins
+    bucket = F.when(low == high, F.lit(1)).otherwise(F.least(F.floor((v - low) / width) + 1, F.lit(bins)))
     counted = df.where(v.isNotNull()).groupBy(bucket.cast("int").alias("bucket"), *extra).agg(
         F.count("*").alias("count")
     )
-    width = (high - low) / bins
     return counted.select(
         "bucket", (low + (F.col("bucket") - 1) * width).alias("lower"), (low + F.col("bucket") * width).alias("upper"),
         *extra, "count",

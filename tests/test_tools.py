@@ -51,6 +51,14 @@ def test_histogram_edges(spark):
     assert [(r["bucket"], r["count"]) for r in flat] == [(1, 31)]
 
 
+def test_histogram_counts_a_value_in_the_bin_that_begins_with_it(spark):
+    # Prices whose span divides evenly; the last one of each row is the exact lower end of a bin.
+    for low, high, border in ((900.0, 104999.88, 18249.98), (900.0, 104999.86, 52949.93)):
+        df = spark.createDataFrame([(low,), (high,), (border,)], "x double")
+        held = [r for r in charts.histogram(df, "x").collect() if r["bucket"] not in (1, 30)]
+        assert [(r["lower"], r["count"]) for r in held] == [(border, 1)]
+
+
 def test_chart_dispatch(spark):
     df = spark.range(10).select("id", (F.col("id") % 2).alias("g"))
     assert charts.chart_data(df, "nonsense", "id") is None and charts.chart_data(df, "bar", "nope") is None
