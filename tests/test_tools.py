@@ -59,6 +59,13 @@ def test_histogram_counts_a_value_in_the_bin_that_begins_with_it(spark):
         assert [(r["lower"], r["count"]) for r in held] == [(border, 1)]
 
 
+def test_colored_histogram_counts_a_value_in_the_bin_that_begins_with_it(spark):
+    rows = [(900.0, "A"), (104999.88, "A"), (18249.98, "A"), (18249.98, "R"), (18249.98, None)]
+    found = charts.histogram(spark.createDataFrame(rows, "x double, flag string"), "x", "flag").collect()
+    assert {(r["flag"], r["lower"], r["count"]) for r in found if r["bucket"] not in (1, 30)} == {
+        (flag, 18249.98, 1) for flag in ("A", "R", None)}
+
+
 def test_chart_dispatch(spark):
     df = spark.range(10).select("id", (F.col("id") % 2).alias("g"))
     assert charts.chart_data(df, "nonsense", "id") is None and charts.chart_data(df, "bar", "nope") is None
