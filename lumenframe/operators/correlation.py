@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.moments import classify_strength
 from .describe import choose_columns
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, share_package
 from .ordered import OrderedRows, Running
-from .quantiles import long_values, value_counts_long, with_running_count
+from .quantiles import GRID as POINTS, SKETCH_SIZE, quantile_grid
 
 # Fewest columns and rows, reporting threshold, pairs listed.
 MIN_COLUMNS = 2
@@ -76,21 +79,115 @@ def _gram_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(rows, "column_1 string, column_2 string, n bigint, correlation double")
 
 
+def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as doubles c0, c1, ...; -0.0 is 0.0."""
+    return df.select(*[(F.col(f"`{c}`").cast("double") + F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+def _cells(points: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Cells of values: 2 i + 1 is the i-th point itself, 2 i what lies before it (NaN behind all)."""
+    at = np.searchsorted(points, values)
+    return (2 * at + (np.append(points, np.nan)[at] == values)).astype(np.int32)
+
+
+def _cut(numbers: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Points that cut each column into cells, and how many rows each cell holds; the driver reads both.
+
+    The points are values of the data, read from a mergeable sketch: up to ``POINTS`` values are all among them, and
+    between two of them lies about a thousandth of the rows, the more frequent values being points.
+    """
+    names = numbers.columns
+    grids = numbers.agg(*[quantile_grid(F.kll_sketch_agg_double(c, F.lit(SKETCH_SIZE))).alias(c) for c in names]).head()
+    points = [np.unique(np.array(grid or (), np.float64)) for grid in grids]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [np.zeros(2 * len(p) + 1, np.int64) for p in points]
+        for batch in batches:
+            for own, p, values in zip(counts, points, batch.columns, strict=True):
+                own += np.bincount(_cells(p, values.drop_null().to_numpy()), minlength=len(own))
+        for i, own in enumerate(counts):
+            held = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(held), i, np.int32)), pa.array(held.astype(np.int32)), pa.array(own[held])],
+                ["cid", "cell", "cnt"])
+
+    counts = [np.zeros(2 * len(p) + 1, np.int64) for p in points]
+    for cid, cell, cnt in numbers.mapInArrow(run, "cid int, cell int, cnt long").groupBy("cid", "cell").agg(F.sum("cnt")).collect():
+        counts[cid][cell] = cnt
+    return points, counts
+
+
+def _ranks(numbers: DataFrame, points: Sequence[np.ndarray], counts: Sequence[np.ndarray]) -> DataFrame:
+    """Average ranks of all columns, from cells and their counts."""
+    names = numbers.columns
+    # The rank of a point; of what lies between two points, the number of rows before it.
+    bases = [np.cumsum(n) - n + np.where(np.arange(len(n)) % 2, (n + 1) / 2, 0) for n in counts]
+    loose = [i for i, n in enumerate(counts) if n[::2].any()]
+    schema = ", ".join([*(f"{c} double" for c in names), *(f"cell{i} int" for i in loose)])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, cells = [], []
+            for i, values in enumerate(batch.columns):
+                missing = values.is_null().to_numpy(zero_copy_only=False)
+                cell = _cells(points[i], values.to_numpy(zero_copy_only=False))
+                columns.append(values if i in loose else pa.array(bases[i][cell], mask=missing))
+                if i in loose:
+                    cells.append(pa.array(cell, mask=missing))
+            yield pa.RecordBatch.from_arrays([*columns, *cells], [*names, *(f"cell{i}" for i in loose)])
+
+    ranks = numbers.mapInArrow(place, schema)
+    for i in loose:
+        value, cell = F.col(names[i]), F.col(f"cell{i}")
+        base = F.get(F.expr(f"array({', '.join(f'{x!r}D' for x in bases[i].tolist())})"), cell)
+        between = F.coalesce(cell % 2 == 0, F.lit(False))
+        spread = F.pmod(F.xxhash64(*names), F.lit(POINTS)).cast("int")  # rows with a known rank go anywhere
+        within = Window.partitionBy("key").orderBy(value)
+        rank = base + F.when(between, (F.rank().over(within) + F.count("*").over(within)) / 2).otherwise(0.0)
+        keyed = ranks.withColumn("key", F.when(between, cell).otherwise(-1 - spread))
+        ranks = keyed.withColumn(names[i], rank).drop("key", f"cell{i}")
+    return ranks
+
+
 def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace each column's values by their average ranks, with one join whatever the number of columns.
+    """Replace each column's values by their average ranks; nulls stay.
 
-    The numbers are kept once, with a row id. In long form they give both the value counts that are ranked and the
-    rows that meet the ranks; a frequent value is one row on the rank side and a skewed other side, which adaptive
-    execution splits. One grouping by row id puts the ranks side by side again.
+    Each column is cut into cells at some of its values, and one pass counts the cells of all columns. A row on such a
+    value has its rank from the counts; the others are ranked inside their cells, by one exchange for each column that
+    has any. So a frequent value is never dealt to one task, columns of few values are not dealt at all, and rows are
+    neither exploded nor joined nor grouped again. The input is read three times.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    rows = df.select(F.monotonically_increasing_id().alias("__id"), *[F.col(f"`{c}`") for c in columns]).checkpoint()
-    counts = value_counts_long(rows, columns)
-    ranked = with_running_count(counts, ["cid"], ["value"], "cnt")
-    ranks = ranked.select("cid", "value", (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("rank"))
-    met = long_values(rows, columns, ["__id"]).join(ranks, ["cid", "value"], "left")
-    return met.groupBy("__id").agg(*[
-        F.max(F.when(F.col("cid") == i, F.col("rank"))).alias(c) for i, c in enumerate(columns)]).drop("__id")
+    numbers = _numbers(df, columns)
+    share_package(df.sparkSession)
+    return _ranks(numbers, *_cut(numbers)).toDF(*columns)
+
+
+def _rank_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson of the average ranks of columns without missing values; a constant column gives NULL.
+
+    The mean of such ranks is known, so one pass sums the products of all pairs: a k x k matrix a task, added by Spark.
+    """
+    spark, numbers = df.sparkSession, _numbers(df, columns)
+    share_package(spark)
+    points, counts = _cut(numbers)
+    n, k = int(counts[0].sum()), len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            z = (np.stack([c.to_numpy() for c in batch.columns]) - (n + 1) / 2) / n
+            total += z @ z.T
+        i, j = np.triu_indices(k)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["i", "j", "s"])
+
+    summed = _ranks(numbers, points, counts).mapInArrow(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s"))
+    sums = {(i, j): s for i, j, s in summed.collect()} if n else {}
+    rows = []
+    for (i, a), (j, b) in combinations(enumerate(columns), 2):
+        spread = math.sqrt(sums[i, i]) * math.sqrt(sums[j, j]) if n else 0.0
+        rows.append((a, b, n, float(min(max(sums[i, j] / spread, -1.0), 1.0)) if spread else None))
+    return spark.createDataFrame(rows, "column_1 string, column_2 string, n bigint, correlation double")
 
 
 def kendall_tau(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -161,8 +258,7 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, method: st
         for part in parts[1:]:
             found = found.unionByName(part)
     elif method in ("pearson", "spearman"):
-        source = complete if method == "pearson" else average_ranks(complete, chosen)
-        found = _gram_correlations(source, chosen)
+        found = _gram_correlations(complete, chosen) if method == "pearson" else _rank_correlations(complete, chosen)
     else:
         raise ValueError(f"Unknown method '{method}'. Supported: pearson, spearman, kendall")
     enough = F.col("n") >= MIN_ROWS

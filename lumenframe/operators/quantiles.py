@@ -109,7 +109,8 @@ def weighted_quantiles(
 _STATE = "a double, b double, x double, y double, low double, high double, gather boolean"
 
 
-def _grid(sketch: Column) -> Column:
+def quantile_grid(sketch: Column) -> Column:
+    """``GRID`` quantiles of a sketch, values that were met; NULL if it is empty."""
     ranks = F.expr(f"array({', '.join(f'{(j + 0.5) / GRID!r}D' for j in range(GRID))})")
     return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, ranks))
 
@@ -225,7 +226,7 @@ def exact_quantiles(
         F.count(v).alias(f"__n{i}"), F.kll_sketch_agg_double(v, F.lit(SKETCH_SIZE)).alias(f"__s{i}"))))
     counts = sketched.select(*map(_name, group), F.inline(F.array(*(F.struct(
         F.lit(i).alias("cid"), F.col(f"__n{i}").alias("n"), F.col(f"__s{i}").alias("sketch")) for i in range(len(columns)))))
-    ).where("n > 0").withColumn("grid", _grid(F.col("sketch"))).select(*by, "n", *(x for q in names for x in (
+    ).where("n > 0").withColumn("grid", quantile_grid(F.col("sketch"))).select(*by, "n", *(x for q in names for x in (
         whole.alias(q), seen(nothing, nothing, n, n, F.col("grid"), empty).alias(f"{q}_seen"))))
     done = []
     unfinished = F.coalesce(*(F.col(f"{q}.x") for q in names)).isNotNull()
@@ -257,7 +258,7 @@ def exact_quantiles(
         if wide:
             inner = {q: F.when((places[q] == 2) & ~F.col(f"{q}.gather"), value) for q in wide}
             sketches = met.where(F.coalesce(*inner.values()).isNotNull()).groupBy(*by).agg(*(
-                _grid(F.kll_sketch_agg_double(v, F.lit(SKETCH_SIZE))).alias(f"{q}_grid") for q, v in inner.items()))
+                quantile_grid(F.kll_sketch_agg_double(v, F.lit(SKETCH_SIZE))).alias(f"{q}_grid") for q, v in inner.items()))
             grids = grids.join(F.broadcast(sketches) if small else sketches, keys, "left")
         no_grid = F.lit(None).cast("array<double>")
         # A row per group and column on both sides.

@@ -83,6 +83,31 @@ def test_spearman_with_a_hot_value(spark):
     assert math.isclose(_pairs(correlation.correlations(df, method="spearman"))[("a", "b")], want, rel_tol=1e-9)
 
 
+def test_average_ranks_of_many_and_frequent_values(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"many": rng.normal(size=9000), "some": rng.integers(0, 3000, 9000) * 1.0, "few": rng.integers(0, 4, 9000) * 1.0})
+    pdf.loc[rng.random(9000) < 0.4, "many"] = 0.25  # a value that holds much of a column of many values
+    pdf.loc[::7, "some"], pdf.loc[::11, "many"], pdf.loc[:3, "few"] = None, -0.0, None
+    pdf.loc[5::11, "many"] = 0.0
+    entries = [tuple(None if np.isnan(v) else float(v) for v in row) for row in pdf.itertuples(index=False)]
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(entries)], "id long, many double, some double, few double")
+    got = correlation.average_ranks(df.repartition(7), ["id", "many", "some", "few"]).toPandas().sort_values("id", ignore_index=True)
+    assert (got["id"] == np.arange(1, 9001)).all()
+    pd.testing.assert_frame_equal(got.drop(columns="id"), pdf.rank())
+    not_numbers = spark.createDataFrame([(math.nan,), (1.0,), (math.nan,), (None,), (math.inf,)], "x double")
+    assert sorted(r[0] or 0 for r in correlation.average_ranks(not_numbers, ["x"]).collect()) == [0, 1, 2, 3.5, 3.5]
+    assert correlation.average_ranks(df.limit(0), ["many", "few"]).collect() == []
+
+
+def test_ranks_move_rows_once_for_each_column_of_many_values(spark, capsys):
+    df = spark.range(20_000).select(  # few values, many, many
+        (F.col("id") % 5).alias("a"), F.col("id").alias("b"), F.pmod(F.xxhash64("id"), F.lit(9000)).alias("c"))
+    for columns, moves in ((["a"], 0), (["a", "b"], 1), (["a", "b", "c"], 2)):
+        correlation.average_ranks(df, columns).explain()
+        plan = capsys.readouterr().out
+        assert plan.count("Exchange") == moves and not any(x in plan for x in ("Join", "Generate", "Aggregate"))
+
+
 def test_needs_two_columns(spark):
     with pytest.raises(ValueError):
         correlation.correlations(spark.range(5).toDF("only"))
