@@ -10,6 +10,7 @@ from lumenframe.llm.shared import drop, keep, read_table, scratch, shared_path
 from lumenframe.llm.tokens import default_tokenizer
 
 SHINGLE, SIMILARITY = 5, 0.8  # texts whose sets of five-word shingles agree so far are near-duplicates here
+NEAR_BITS = 6  # fingerprints that differ in so many bits at most are proposed by the trees of op1_simhash
 
 #: Trees, sketches and packing have no SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
@@ -37,11 +38,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document of each group of near-duplicates; rows are told apart by doc_id and text, repeated rows count as one.
 
     The one of smallest doc_id stays (null first; under one doc_id, that of smallest text digest). Texts without words,
-    null ones too, are one group; all columns come back as they are.
+    null ones too, are one group; all columns come back as they are. The BK-trees over SimHash fingerprints propose, the true
+    similarity decides; pairs that fingerprints cannot show are found by MinHash and rare shingles among what is left apart.
     """
     plain, back = _plain_names(docs, "doc_id", "text")
     single = keep(plain.dropDuplicates(["doc_id", "text"]).withColumn("key", F.monotonically_increasing_id()), "numbered")
-    groups = similar_texts.similar_texts(single.select(F.col("key").alias("doc_id"), "text"), SHINGLE, SIMILARITY)
+    groups = similar_texts.similar_texts(
+        single.select(F.col("key").alias("doc_id"), "text"), SHINGLE, SIMILARITY, NEAR_BITS)
     order = F.struct("doc_id", F.xxhash64("text"), "key")
     chosen = single.select("key", order.alias("order")).join(
         groups.withColumnRenamed("doc_id", "key"), "key").groupBy("component_id").agg(F.min("order")["key"].alias("key"))

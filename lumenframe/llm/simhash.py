@@ -190,6 +190,17 @@ def near_edges(distinct: DataFrame, radius: int, rows: int) -> DataFrame:
     return spread.groupBy("bin").applyInPandas(run, f"a {node_type}, b {node_type}").distinct()
 
 
+def near_pairs(marked: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of nodes that the trees propose, from (node, fp) without nulls.
+
+    Every node meets the smallest one of its fingerprint; of different fingerprints, those that a bucket links within
+    ``radius`` bits meet as stars. So a group of any size makes a few pairs a node.
+    """
+    heads = keep(marked.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    equal = marked.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    return equal.unionByName(near_edges(heads.withColumnRenamed("head", "node"), radius, heads.count()))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id): texts whose fingerprints differ in at most ``radius`` bits, transitively.
 

@@ -1,8 +1,9 @@
 """Groups of texts whose sets of word shingles agree to a wanted Jaccard similarity.
 
-Candidates come from MinHash: ``BANDS`` keys of ``ROWS`` minima each, of which a pair at similarity 0.8 shares none in
-one case of eight million (0.9: one in 10^15). Every link is decided by the true similarity of its two sets; equal sets
-are one node. In ``LEADER_ROUNDS`` rounds all nodes of a bucket are compared with one leader, first the one that meets most
+Candidates come from SimHash first: fingerprints that differ in at most ``BITS`` bits meet through BK-trees. Every link is
+decided by the true similarity of its two sets; equal sets are one node. A 64-bit fingerprint shows only a part of the pairs
+at similarity 0.8, so what it leaves apart goes on to MinHash: ``BANDS`` keys of ``ROWS`` minima each, of which a pair at 0.8
+shares none in one case of eight million (0.9: one in 10^15). In ``LEADER_ROUNDS`` rounds all nodes of a bucket are compared with one leader, first the one that meets most
 others. What this leaves apart is not compared pair by pair: of a node's shingles only those count that other groups hold too,
 and two nodes are compared if one of their rarest such shingles agrees, at a place that leaves room for the similarity.
 So members of a group make no pairs among themselves, and texts that are mostly their own, or of their group, make none.
@@ -17,9 +18,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import simhash
 from .components import components
 from .shared import HashSet, Words, hash_set, keep, mix, text_slices
 
+BITS = 6  # of 64, by which the fingerprints of texts may differ that SimHash proposes
 BANDS, ROWS = 40, 5
 LEADER_ROUNDS = 2
 CHUNK = 256  # shingles whose minima are taken at once, so that the products stay in the cache
@@ -102,6 +105,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _proposed(docs: DataFrame, nodes: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """Pairs (a, b) of nodes that SimHash proposes; a set's fingerprint is that of the text that names its node."""
+    marked = simhash.fingerprints(docs, shingle).withColumnRenamed("doc_id", "node").join(nodes.select("node"), "node")
+    return simhash.near_pairs(keep(marked, "fingerprints"), bits)
+
+
 def _sizes_allow(one: Column, other: Column, similarity: float) -> Column:
     return F.least(one, other) >= similarity * F.greatest(one, other)
 
@@ -181,22 +190,24 @@ def _across(rarest: DataFrame, similarity: float) -> DataFrame:
     return meet.select("a", "b").distinct()
 
 
-def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = BITS) -> DataFrame:
     """(doc_id, component_id): texts whose sets of shingles have at least this Jaccard similarity, transitively.
 
     doc_id is a long, never null, and tells texts apart. Works on whole texts, A-Z lower-cased, split at ASCII white
-    space; texts without words are one group. Shingles are compared by 64-bit hashes. Other columns are ignored.
+    space; texts without words are one group. Shingles are compared by 64-bit hashes. Other columns are ignored. Pairs whose
+    fingerprints differ in at most ``bits`` bits are looked at first; the groups do not depend on it.
     """
     marked = keep(_sketches(docs, shingle), "sketches")
     nodes = keep(marked.groupBy("digest").agg(
         F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys")), "sets")
     buckets = keep(_labelled(nodes.select("node", "size", F.explode("keys").alias("key")), None).drop("group"), "buckets")
-    sets = keep(_sets(docs, hash_set(buckets, "node", "wanted"), shingle), "wanted")
-    links = None
+    proposed = keep(_proposed(docs, nodes, shingle, bits), "proposed")
+    wanted = buckets.select("node").unionByName(proposed.select(F.explode(F.array("a", "b")).alias("node")))
+    sets = keep(_sets(docs, hash_set(wanted, "node", "wanted"), shingle), "wanted")
+    links = keep(_verified(proposed, sets, similarity), "links")
     for seed in range(LEADER_ROUNDS):
         named = keep(_labelled(buckets, links), "groups")
-        found = _verified(_with_leaders(named, seed, similarity), sets, similarity)
-        links = keep(found if links is None else links.unionByName(found), "links")
+        links = keep(links.unionByName(_verified(_with_leaders(named, seed, similarity), sets, similarity)), "links")
     rarest = keep(_rarest(_labelled(buckets, links), sets, similarity), "rarest")
     links = keep(links.unionByName(_verified(_across(rarest, similarity), sets, similarity)), "links")
     linked = nodes.select("digest", "node").join(components(links), "node", "left")

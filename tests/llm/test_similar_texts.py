@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from lumenframe.llm.simhash import text_fingerprint
 from lumenframe.llm.similar_texts import similar_texts
 
 
@@ -90,6 +91,29 @@ def test_rare_shingles_alone_find_all_groups(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in similar_texts(docs).collect()} == plain_groups(rows)
 
 
+def test_the_stage_links_what_the_trees_propose(spark, monkeypatch):
+    none = lambda named, *_: named.selectExpr("node a", "node b").where("false")
+    monkeypatch.setattr("lumenframe.llm.similar_texts._with_leaders", none)
+    monkeypatch.setattr("lumenframe.llm.similar_texts._across", none)
+    rows = {}
+    for base in range(40):
+        words = [f"s{base}w{i}" for i in range(200)]
+        rows[2 * base], rows[2 * base + 1] = " ".join(words), edited(words, base % 4 + 1, base)
+    marks = {d: text_fingerprint(t.encode(), 5) for d, t in rows.items()}
+    linked = [d for d in range(0, 80, 2) if (marks[d] ^ marks[d + 1]).bit_count() <= corpus_pipeline.NEAR_BITS
+              and alike(shingles(rows[d]), shingles(rows[d + 1]))]
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()}
+    assert len(linked) > 15 and left == set(rows) - {d + 1 for d in linked}
+
+
+def test_equal_fingerprints_are_no_link_without_similarity(spark, monkeypatch):
+    monkeypatch.setattr("lumenframe.llm.simhash.fingerprints", lambda docs, shingle: docs.selectExpr("doc_id", "0L fp"))
+    rows = {d: " ".join(f"e{d // 2}w{i}" for i in range(60)) + f" end{d}" for d in range(30)}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in similar_texts(docs).collect()} == plain_groups(rows)
+
+
 def test_the_stage_keeps_one_of_each_group_of_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     groups = plain_groups({r.doc_id: r.text for r in docs.collect()})
