@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from .shared import keep
 
@@ -14,23 +14,24 @@ def components(edges: DataFrame) -> DataFrame:
     Each round links every neighbourhood to its smallest member, first upwards, then downwards, until
     nothing moves; both steps only group and explode neighbours through minima, so a hub's neighbours are
     never gathered in one cell. Rounds are logarithmic in practice; each is cut from the lineage by a table
-    in the shared folder. Null ends are ignored; repeated edges and loops change nothing.
+    in the shared folder. Null ends are ignored; repeated edges and loops change nothing; without edges no round is made.
     """
     links = keep(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
                  .where("a is not null and b is not null and a <> b").distinct(), "edges")
-    before = None
-    while True:
-        large = _stars(links, upwards=True)
-        links = keep(_stars(large, upwards=False), "edges")
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
+    state, before = _state(links), None
+    while state[0] and state != before:
+        links = keep(_stars(keep(_stars(links, upwards=True), "edges"), upwards=False), "edges")
+        state, before = _state(links), state
     return links.groupBy("hi").agg(F.min("lo").alias("component")).withColumnRenamed("hi", "node").unionByName(
         links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     ).groupBy("node").agg(F.min("component").alias("component"))
 
 
+def _state(links: DataFrame) -> Row:
+    """Number and sum of hashes of the edges, by which a round that moved nothing is told."""
+    return links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+
+
 def _stars(links: DataFrame, upwards: bool) -> DataFrame:
     """Link a node's larger neighbours (or, downwards, itself and its smaller ones) to its smallest neighbour."""
     if upwards:

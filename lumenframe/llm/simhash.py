@@ -154,16 +154,13 @@ def bucketed(distinct: DataFrame, radius: int) -> DataFrame:
         for i, m in enumerate(masks)])).alias("at")).select("node", "fp", "at.mask", "at.part")
     hot = wide.groupBy("mask", "part").agg(F.count("*").alias("size")).where(F.col("size") > HOT)
     marked = wide.join(hot, ["mask", "part"], "left")
-    # A hot bucket: of radius + 1 blocks of its free bits, one must agree as well.
-    finer = []
-    for i, m in enumerate(masks):
-        for j, sub in enumerate(_blocks([b for b in range(64) if not m >> b & 1], radius + 1)):
-            finer.append(F.when(F.col("mask") == i, F.struct(
-                F.lit(j + 1).alias("sub"), F.col("fp").bitwiseAND(F.lit(_signed(sub))).alias("rest"))))
+    # A hot bucket: of radius + 1 blocks of its free bits, one must agree as well. Looked up by mask, so the plan stays small.
+    finer = F.array(*[F.array(*[F.lit(_signed(sub)) for sub in _blocks([b for b in range(64) if not m >> b & 1], radius + 1)])
+                      for m in masks])
     whole = F.array(F.struct(F.lit(0).alias("sub"), F.lit(0).cast("long").alias("rest")))
-    split = marked.select("node", "fp", "mask", "part", F.explode(
-        F.when(F.col("size").isNull(), whole).otherwise(F.filter(F.array(*finer), lambda x: x.isNotNull()))
-    ).alias("at"))
+    cut = F.transform(F.get(finer, F.col("mask")), lambda sub, j: F.struct(
+        (j + 1).alias("sub"), F.col("fp").bitwiseAND(sub).alias("rest")))
+    split = marked.select("node", "fp", "mask", "part", F.explode(F.when(F.col("size").isNull(), whole).otherwise(cut)).alias("at"))
     return split.select("node", "fp", F.xxhash64("mask", "part", "at.sub", "at.rest").alias("key"))
 
 

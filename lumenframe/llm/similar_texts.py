@@ -115,12 +115,20 @@ def _sizes_allow(one: Column, other: Column, similarity: float) -> Column:
     return F.least(one, other) >= similarity * F.greatest(one, other)
 
 
-def _labelled(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
+def _grouped(groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The (node, group) of all nodes after the pairs (a, b) of nodes have joined their groups.
+
+    Only the groups that a pair joins are contracted, so later rounds do not go through the earlier links again.
+    """
+    ends = pairs.join(groups.select(F.col("node").alias("a"), F.col("group").alias("x")), "a").join(
+        groups.select(F.col("node").alias("b"), F.col("group").alias("y")), "b")
+    joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "group")
+    return keep(groups.join(joined, "group", "left").select("node", F.coalesce("component", "group").alias("group")), "groups")
+
+
+def _labelled(buckets: DataFrame, groups: DataFrame | None) -> DataFrame:
     """Buckets with the group of each node, without those that hold one group only."""
-    if links is None:
-        named = buckets.withColumn("group", F.col("node"))
-    else:
-        named = buckets.join(components(links), "node", "left").withColumn("group", F.coalesce("component", "node"))
+    named = buckets.withColumn("group", F.col("node")) if groups is None else buckets.join(groups, "node")
     mixed = named.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
     return named.join(mixed.select("key"), "key").select("key", "node", "size", "group")
 
@@ -204,12 +212,11 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bi
     proposed = keep(_proposed(docs, nodes, shingle, bits), "proposed")
     wanted = buckets.select("node").unionByName(proposed.select(F.explode(F.array("a", "b")).alias("node")))
     sets = keep(_sets(docs, hash_set(wanted, "node", "wanted"), shingle), "wanted")
-    links = keep(_verified(proposed, sets, similarity), "links")
+    groups = _grouped(nodes.select("node", F.col("node").alias("group")), _verified(proposed, sets, similarity))
     for seed in range(LEADER_ROUNDS):
-        named = keep(_labelled(buckets, links), "groups")
-        links = keep(links.unionByName(_verified(_with_leaders(named, seed, similarity), sets, similarity)), "links")
-    rarest = keep(_rarest(_labelled(buckets, links), sets, similarity), "rarest")
-    links = keep(links.unionByName(_verified(_across(rarest, similarity), sets, similarity)), "links")
-    linked = nodes.select("digest", "node").join(components(links), "node", "left")
-    return marked.select("doc_id", "digest").join(linked, "digest").select(
-        "doc_id", F.coalesce("component", "node").alias("component_id"))
+        named = keep(_labelled(buckets, groups), "named")
+        groups = _grouped(groups, _verified(_with_leaders(named, seed, similarity), sets, similarity))
+    rarest = keep(_rarest(_labelled(buckets, groups), sets, similarity), "rarest")
+    groups = _grouped(groups, _verified(_across(rarest, similarity), sets, similarity))
+    linked = nodes.select("digest", "node").join(groups, "node")
+    return marked.select("doc_id", "digest").join(linked, "digest").select("doc_id", F.col("group").alias("component_id"))

@@ -57,6 +57,26 @@ def test_components_match_brute_force(spark, monkeypatch, hot):
         assert got[i].component_id == want[i]
 
 
+def test_plan_of_the_buckets_stays_small_at_a_wide_radius(spark):
+    wide = simhash.bucketed(spark.range(10).selectExpr("id node", "id fp"), 6)
+    assert len(wide._jdf.queryExecution().optimizedPlan().toJSON()) < 200_000
+
+
+@pytest.mark.parametrize("hot", [1, 2048])
+def test_buckets_bring_all_within_the_radius_together(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    base = [0, -1, 0x0123456789ABCDEF, 1 << 62]
+    rng = np.random.default_rng(3)
+    values = [b ^ int(sum(1 << int(i) for i in rng.choice(62, k, replace=False))) for b in base for k in (0, 1, 3, 6)]
+    rows = spark.createDataFrame(list(enumerate(values)), "node long, fp long")
+    keys: dict[int, set] = {}
+    for r in simhash.bucketed(rows, 6).collect():
+        keys.setdefault(r.node, set()).add(r.key)
+    for i, a in enumerate(values):
+        for j, b in enumerate(values):
+            assert ((a ^ b) & (1 << 64) - 1).bit_count() > 6 or keys[i] & keys[j]
+
+
 @given(st.lists(st.integers(0, 255), min_size=1, max_size=40, unique=True), st.integers(0, 3))
 @settings(max_examples=40, deadline=None)
 def test_tree_search_finds_every_pair(values, radius):

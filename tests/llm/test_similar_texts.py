@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from lumenframe.llm.components import components
 from lumenframe.llm.simhash import text_fingerprint
 from lumenframe.llm.similar_texts import similar_texts
 
@@ -122,5 +123,18 @@ def test_the_stage_keeps_one_of_each_group_of_brute_force(spark):
     assert {groups[d] for d in left} == set(groups.values())
 
 
+def test_links_are_gone_through_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr("lumenframe.llm.similar_texts.components", lambda edges: seen.append(edges.count()) or components(edges))
+    rows = {}
+    for base in range(20):
+        words = [f"o{base}w{i}" for i in range(200)]
+        for copy in range(3):
+            rows[len(rows)] = edited(words, copy, base * 10 + copy) if copy else " ".join(words)
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in similar_texts(docs).collect()} == plain_groups(rows)
+    assert 40 <= sum(seen) <= 3 * 20  # a group of three has three pairs at most
+
+
 def test_empty_table(spark):
     assert similar_texts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
