@@ -46,7 +46,8 @@ def histogram(df: DataFrame, x: str, color: str | None = None, bins: int = HISTO
     span = df.agg(F.struct(F.min(v).alias("low"), F.max(v).alias("high"))).scalar()
     low, high = span["low"], span["high"]
     width = (high - low) / bins
-    bucket = F.when(low == high, F.lit(1)).otherwise(F.least(F.floor((v - low) / width) + 1, F.lit(bins)))
+    bucket = F.when(low == high, F.lit(1)).when(v == high, F.lit(bins)).otherwise(
+        F.least(F.floor((v - low) / width) + 1, F.lit(bins)))
     counted = df.where(v.isNotNull()).groupBy(bucket.cast("int").alias("bucket"), *extra).agg(
         F.count("*").alias("count")
     )

@@ -59,6 +59,11 @@ def test_histogram_counts_a_value_in_the_bin_that_begins_with_it(spark):
         assert [(r["lower"], r["count"]) for r in held] == [(border, 1)]
 
 
+def test_histogram_counts_an_infinite_maximum_in_the_last_bin(spark):
+    df = spark.createDataFrame([(1.0,), (float("inf"),), (31.0,)], "x double")
+    assert {r["bucket"]: r["count"] for r in charts.histogram(df, "x").collect()} == {1: 2, 30: 1}
+
+
 def test_colored_histogram_counts_a_value_in_the_bin_that_begins_with_it(spark):
     rows = [(900.0, "A"), (104999.88, "A"), (18249.98, "A"), (18249.98, "R"), (18249.98, None)]
     found = charts.histogram(spark.createDataFrame(rows, "x double, flag string"), "x", "flag").collect()
